@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trapflow.functions.expr import let
 from trapflow.functions.oid import longest_prefix, plain
 from trapflow.functions.values import KINDS, read_value, typed
 
@@ -49,9 +50,12 @@ def _read(attributes: list[Attribute], position: Column, value: Column) -> Colum
 
 def _cell(values: Column) -> Column:
     """A cell of the grid from its values' canonical texts, in order; null: not readable."""
-    good = F.filter(values, lambda v: v.isNotNull())
-    issue = F.when((F.size(values) > 0) & (F.size(good) == 0), "unreadable").when(F.size(F.array_distinct(good)) > 1, "conflict")
-    return F.struct(F.element_at(good, F.when(F.size(good) > 0, -1)).alias("text"), issue.alias("issue"))
+
+    def cell(good: Column) -> Column:
+        issue = F.when((F.size(values) > 0) & (F.size(good) == 0), "unreadable").when(F.size(F.array_distinct(good)) > 1, "conflict")
+        return F.struct(F.get(good, F.size(good) - 1).alias("text"), issue.alias("issue"))
+
+    return let(F.filter(values, lambda v: v.isNotNull()), cell)
 
 
 def nested_grid(df: DataFrame, entity: str, entries: Column, attributes: list[Attribute]) -> DataFrame:
@@ -62,9 +66,16 @@ def nested_grid(df: DataFrame, entity: str, entries: Column, attributes: list[At
     listed = {a.key: i for i, a in enumerate(attributes)}
     placed = F.filter(F.transform(entries, lambda e: F.struct(longest_prefix(plain(e["key"]), listed).alias("at"), e["value"].alias("value"))), lambda e: e.at.isNotNull())
     read = F.transform(placed, lambda e: F.struct(e["at"].alias("at"), _read(attributes, e["at"], e["value"]).alias("text")))
-    rows = df.select(F.col(entity).alias("entity"), F.coalesce(read, F.array().cast("array<struct<at:int,text:string>>")).alias("read"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(len(attributes) - 1)), lambda i: _cell(F.transform(F.filter("read", lambda e: e.at == i), lambda e: e.text)))
-    return rows.select("entity", (cells if attributes else F.array().cast("array<struct<text:string,issue:string>>")).alias("grid"))
+    read = F.coalesce(read, F.array().cast("array<struct<at:int,text:string>>"))
+
+    def cells(r: Column) -> Column:
+        places = F.array_distinct(F.transform(r, lambda e: e["at"]))
+        return F.map_from_arrays(places, F.transform(places, lambda i: let(F.transform(F.filter(r, lambda e: e["at"] == i), lambda e: e["text"]), _cell)))
+
+    # Bound once each: the values are read once, not once for each cell.
+    places = F.sequence(F.lit(0), F.lit(len(attributes) - 1))
+    grid = let(let(read, cells), lambda got: F.transform(places, lambda i: F.try_element_at(got, i)))
+    return df.select(F.col(entity).alias("entity"), (grid if attributes else F.array().cast("array<struct<text:string,issue:string>>")).alias("grid"))
 
 
 def long_grid(df: DataFrame, entity: str, attribute: str, value: str, order: str, attributes: list[Attribute]) -> DataFrame:
@@ -94,5 +105,5 @@ def to_columns(grid: DataFrame, attributes: list[Attribute]) -> DataFrame:
 def issues(grid: DataFrame, attributes: list[Attribute]) -> DataFrame:
     """(entity, attr_name, issue) of the cells with a problem: ``unreadable`` or ``conflict``."""
     names = F.array(*(F.lit(a.name) for a in attributes))
-    bad = grid.select("entity", F.posexplode("grid").alias("at", "cell")).where("cell.issue is not null")
+    bad = grid.select("entity", F.posexplode_outer("grid").alias("at", "cell")).where("cell.issue is not null")
     return bad.select("entity", F.get(names, F.col("at")).alias("attr_name"), F.col("cell.issue").alias("issue"))
