@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapflow.llm import contamination, mixing
+from trapflow.llm import contamination, mixing, pii_tables
 from trapflow.sources.tables import table
 
 
@@ -50,5 +50,16 @@ def p7_temperature(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([tuple(vars(p).values()) for p in plans], _PLAN).withColumn("exponent", F.lit(exponent))
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mix": p7_mix, "p7_temperature": p7_temperature}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    found = pii_tables.personal_information(table(spark, root, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.explode("finds").alias("find")).select("doc_id", "find.pii_type", "find.pii_key")
+
+
+def p8_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Each mail's text with typed placeholders, and how many distinct finds it had."""
+    found = pii_tables.personal_information(table(spark, root, "documents"), "doc_id", "text", with_text=True)
+    return found.select("doc_id", "redacted", F.size("finds").alias("n_finds"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mix": p7_mix, "p7_temperature": p7_temperature, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLES: dict[str, str] = {}

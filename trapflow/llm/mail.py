@@ -21,6 +21,7 @@ _HEX = re.compile(r"=([0-9A-Fa-f]{2})")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(style|script|head|title)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _BLOCK = re.compile(r"</?(?:p|div|br|hr|tr|table|li|ul|ol|h[1-6]|blockquote|pre|body|html|dd|dt|section|article)\b[^<>]*>", re.I)
+_BLANKS = re.compile(r"[ \t\r\n]+")
 _CELL = re.compile(r"</?t[dh]\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^<>]*(?:>|\Z)")
 #: Parts that one mail may nest.
@@ -62,8 +63,7 @@ def _base64(body: str, charset: str | None) -> str:
 
 def html_text(html: str) -> str:
     """Text of markup: hidden elements dropped, block elements on their own line, entities resolved."""
-    html = _HIDDEN.sub(" ", html)
-    html = _BLOCK.sub("\n", html)
+    html = _BLOCK.sub("\n", _BLANKS.sub(" ", _HIDDEN.sub(" ", html)))
     html = _TAG.sub("", _CELL.sub(" ", html))
     return unescape(html).replace("\xa0", " ") if "&" in html else html.replace("\xa0", " ")
 
