@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A chunk in widths: longer chunks, fewer steps from chunk to chunk.
@@ -43,40 +43,42 @@ def leaders(us: np.ndarray, previous: int | None, width: int) -> np.ndarray:
     return out
 
 
-def assign_windows(rows: DataFrame, keys: list[str], us: str, width_us: int) -> DataFrame:
-    """Add ``anchor``, the start of the row's window. No key may be null."""
-    chunk_us = CHUNK_WIDTHS * width_us
+def assign_windows(rows: DataFrame, keys: list[str], us: str, width: Column | int) -> DataFrame:
+    """Add ``anchor``, the start of the row's window. No key may be null; ``width`` (in microseconds)
+    must be the same for all rows of a key."""
     kinds = dict(rows.dtypes)
-    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    rows = rows.withColumn("_chunk", F.floor(F.col(us) / F.lit(chunk_us)))
-    times = rows.select(*keys, "_chunk", F.col(us).alias("_us")).distinct()
+    columns = rows.columns
+    rows = rows.withColumn("_width", width if isinstance(width, Column) else F.lit(width).cast("bigint")).withColumn("_chunk", F.floor(F.col(us) / (F.col("_width") * CHUNK_WIDTHS)))
+    by = [*keys, "_width"]
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _width bigint"
+    times = rows.select(*by, "_chunk", F.col(us).alias("_us")).distinct()
 
     def tables(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = int(pdf["_chunk"].iat[0])
-        upto, last = exit_table(np.sort(pdf["_us"].to_numpy()), chunk * chunk_us, width_us)
-        return pd.DataFrame({**{k: pdf[k].iat[0] for k in keys}, "_chunk": chunk, "_upto": upto, "_last": last})
+        chunk, width = int(pdf["_chunk"].iat[0]), int(pdf["_width"].iat[0])
+        upto, last = exit_table(np.sort(pdf["_us"].to_numpy()), chunk * CHUNK_WIDTHS * width, width)
+        return pd.DataFrame({**{k: pdf[k].iat[0] for k in by}, "_chunk": chunk, "_upto": upto, "_last": last})
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_chunk", "_upto"])
+        width = int(pdf["_width"].iat[0])
         previous, got = None, []
         for chunk, part in pdf.groupby("_chunk", sort=True):
             got.append((chunk, previous))
             upto = part["_upto"].to_numpy()
-            i = 0 if previous is None else int(np.searchsorted(upto, previous + width_us, side="right"))
+            i = 0 if previous is None else int(np.searchsorted(upto, previous + width, side="right"))
             if i < len(upto):
                 previous = int(part["_last"].to_numpy()[i])
         out = pd.DataFrame({"_chunk": [c for c, _ in got], "_previous": pd.array([p for _, p in got], dtype="Int64")})
-        return out.assign(**{k: pdf[k].iat[0] for k in keys})[[*keys, "_chunk", "_previous"]]
+        return out.assign(**{k: pdf[k].iat[0] for k in by})[[*by, "_chunk", "_previous"]]
 
-    columns = rows.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", anchor bigint"
+    schema = ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + ", anchor bigint"
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(us)
         previous = pdf["_previous"].iat[0]
-        anchor = leaders(pdf[us].to_numpy(), None if pd.isna(previous) else int(previous), width_us)
+        anchor = leaders(pdf[us].to_numpy(), None if pd.isna(previous) else int(previous), int(pdf["_width"].iat[0]))
         return pdf[columns].assign(anchor=anchor)
 
-    steps = times.groupBy(*keys, "_chunk").applyInPandas(tables, f"{head}, _chunk bigint, _upto bigint, _last bigint")
-    entered = steps.groupBy(*keys).applyInPandas(follow, f"{head}, _chunk bigint, _previous bigint")
-    return rows.join(entered, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(resolve, schema).drop("_chunk")
+    steps = times.groupBy(*by, "_chunk").applyInPandas(tables, f"{head}, _chunk bigint, _upto bigint, _last bigint")
+    entered = steps.groupBy(*by).applyInPandas(follow, f"{head}, _chunk bigint, _previous bigint")
+    return rows.join(entered, [*by, "_chunk"]).groupBy(*by, "_chunk").applyInPandas(resolve, schema)
