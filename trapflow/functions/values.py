@@ -46,11 +46,12 @@ def _boolean(s: Column) -> Column:
 def _timestamp(s: Column) -> Column:
     """Microseconds since the epoch, as text."""
     iso = F.concat(
-        F.regexp_extract(s, _ISO, 1), F.lit(" "), F.replace(F.regexp_extract(s, _ISO, 2), F.lit(","), F.lit(".")),
+        F.regexp_extract(s, _ISO, 1), F.lit(" "), F.regexp_replace(F.replace(F.regexp_extract(s, _ISO, 2), F.lit(","), F.lit(".")), r"^(\d\d:\d\d)$", "$1:00"),
         F.regexp_replace(F.when(F.regexp_extract(s, _ISO, 3) == "", "Z").otherwise(F.upper(F.regexp_extract(s, _ISO, 3))), r"^([+-]\d\d):?(\d\d)?$", "$1:$2"),
     )
     part = [F.conv(F.regexp_extract(s, _OCTETS, i), 16, 10) for i in range(1, 8)]
     octets = F.when(part[6].try_cast("int") <= 9, F.concat(F.lpad(part[0], 4, "0"), F.lit("-"), F.lpad(part[1], 2, "0"), F.lit("-"), F.lpad(part[2], 2, "0"), F.lit(" "), F.lpad(part[3], 2, "0"), F.lit(":"), F.lpad(part[4], 2, "0"), F.lit(":"), F.lpad(part[5], 2, "0"), F.lit("."), part[6], F.lit("Z")))
+
     def us(text: Column) -> Column:
         return F.unix_micros(text.try_cast("timestamp")).cast("string")
 
