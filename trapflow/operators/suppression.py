@@ -69,8 +69,8 @@ def alarms_and_duplicates(alarms: DataFrame, clears: DataFrame) -> DataFrame:
     """Add ``reason`` (alarm or duplicate) to ``alarms``.
 
     ``alarms``: rule_id, key_hash, seq, us, ttl_seconds, hold and any other columns; ``clears``:
-    rule_id, key_hash, seq. Both are read more than once: give what is cheap to read. A ttl below 1
-    lets every alarm open a window. Rows with a null among key, seq and us are left out; several rows
+    rule_id, key_hash, seq. Both are read more than once: give what is cheap to read. With a negative
+    ttl every alarm opens a window, also one that is late by more than that. Rows with a null among key, seq and us are left out; several rows
     of one seq and key are ordered by us. An empty table gives an empty result.
     """
     ops = operations(alarms, clears).withColumn("ttl_us", F.col("ttl_seconds").cast("bigint") * 1_000_000)
@@ -79,7 +79,7 @@ def alarms_and_duplicates(alarms: DataFrame, clears: DataFrame) -> DataFrame:
     first = F.col("latest").isNull()
     rises = first | (F.col("us") > F.col("latest"))
     chained = ~F.col("hold") & (F.col("ttl_seconds") >= 1) & (F.col("until_us") - F.col("from_us") >= F.col("ttl_us"))
-    simple = F.when(F.col("hold"), first).when(F.col("ttl_seconds") < 1, True).otherwise(rises & (F.col("us") == F.col("from_us")))
+    simple = F.when(F.col("hold"), first).when(F.col("ttl_seconds") < 0, True).when(F.col("ttl_seconds") == 0, first | (F.col("us") >= F.col("latest"))).otherwise(rises & (F.col("us") == F.col("from_us")))
     columns = [c for c in alarms.columns]
     # At first + ttl the window is over: of whole microseconds, it is one shorter.
     followed = assign_windows(rows.where(chained & rises).select(*columns, "epoch", "stretch", "ttl_us"), [*KEYS, "epoch", "stretch"], "us", F.col("ttl_us") - 1)
