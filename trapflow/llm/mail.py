@@ -29,11 +29,14 @@ MAX_DEPTH = 20
 
 
 def _decode(data: bytes, charset: str | None) -> str:
-    """Bytes as text: UTF-8 if they are valid UTF-8 (a last character may be cut off), else as declared."""
+    """Bytes as text: UTF-8 if they are valid UTF-8, else as declared. A last character that is cut off
+    is dropped, if UTF-8 is declared or other characters show that it is."""
     try:
-        return codecs.getincrementaldecoder("utf-8")().decode(data)
-    except UnicodeDecodeError:
-        pass
+        return data.decode()
+    except UnicodeDecodeError as e:
+        cut = e.end == len(data) and e.reason == "unexpected end of data"
+        if cut and ((charset or "").lower().replace("_", "-") in ("utf-8", "utf8") or not data[: e.start].isascii()):
+            return data[: e.start].decode()
     try:
         name = codecs.lookup(charset or "cp1252").name
     except (LookupError, ValueError):
