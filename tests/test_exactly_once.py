@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from trapflow.operators import skew
+from trapflow.operators import skew, windows_from_first
 from trapflow.operators.exactly_once import SeenStore
 from trapflow.sources.shared import fresh_folder
 
@@ -42,9 +42,10 @@ def found(store, df):
     return {tuple(r) for r in store.deliver(df, "src", "rid", "at", "seq").extra.collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_one_delivery(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "small"), [(1, 2000), (2, 5)])
+def test_one_delivery(spark, seed, small, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    monkeypatch.setattr(windows_from_first, "SMALL", small)
     rows = some(seed)
     assert found(SeenStore(spark, fresh_folder(spark, "t")), frame(spark, rows)) == brute(rows)
 

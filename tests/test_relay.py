@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trapflow.config import Target, parse_rules
-from trapflow.operators import suppression
+from trapflow.operators import suppression, windows_from_first
 from trapflow.operators.counters import exposition, interval_stats, queue_drops, snapshot
 from trapflow.operators.suppression import alarms_and_duplicates, replay, states
 from trapflow.plans.relay import outcomes, verdicts
@@ -93,6 +93,7 @@ def operations(seed, n=600):
 def test_random_streams_agree_with_a_replay(spark, monkeypatch, largest):
     monkeypatch.setattr(suppression, "KEY_ROWS", largest)
     monkeypatch.setattr(suppression, "CHUNK", 500)
+    monkeypatch.setattr(windows_from_first, "SMALL", largest)
     ops = operations(largest)
     df = spark.createDataFrame(ops)
     marked = alarms_and_duplicates(df.where("rank = 1").drop("rank"), df.where("rank = 0").select("rule_id", "key_hash", "seq"))

@@ -91,11 +91,12 @@ def simple_windows(us, width):
     return out
 
 
-def test_windows_from_first(spark):
+@pytest.mark.parametrize("size", [1, 10**6])
+def test_windows_from_first(spark, size):
     r = random.Random(4)
     rows = [(k, u) for k in ("a", "b", "c") for u in np.cumsum([r.choice([1, 3, 9, 10, 11, 95]) for _ in range(300)]).tolist()] + [("d", 5), ("d", 5)]
     df = spark.createDataFrame([(k, u, i) for i, (k, u) in enumerate(rows)], "k string, us long, i long")
-    got = {(x.k, x.us): x.anchor for x in assign_windows(df, ["k"], "us", 10).collect()}
+    got = {(x.k, x.us): x.anchor for x in assign_windows(df, ["k"], "us", 10, F.lit(size)).collect()}
     want = {(k, u): a for k in "abcd" for u, a in simple_windows([u for q, u in rows if q == k], 10).items()}
     assert got == want
 

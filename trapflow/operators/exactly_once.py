@@ -79,8 +79,8 @@ class SeenStore:
         )
         long = F.col("until") - F.col("anchor") > self.window_us
         chunks = merged.where(long)
-        in_long = hot_split_join(rows.withColumn("chunk", F.floor(F.col("us") / F.lit(self.window_us))), chunks, [*KEYS, "chunk"], "chunk_n", ["session"], "ord")
-        return merged.where(~long), assign_windows(in_long.drop("chunk"), [*KEYS, "session"], "us", self.window_us)
+        in_long = hot_split_join(rows.withColumn("chunk", F.floor(F.col("us") / F.lit(self.window_us))), chunks, [*KEYS, "chunk"], "chunk_n", ["session", "n"], "ord")
+        return merged.where(~long), assign_windows(in_long.drop("chunk"), [*KEYS, "session"], "us", self.window_us, F.col("n"))
 
     def deliver(self, df: DataFrame, origin: str, ident: str, time: str, order: str) -> Delivery:
         """Take a batch, store its new messages and give back what to drop."""

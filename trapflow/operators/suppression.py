@@ -56,12 +56,12 @@ def _sequence(ops: DataFrame, chunked: bool) -> DataFrame:
 
 
 def _spans(rows: DataFrame, chunked: bool) -> DataFrame:
-    """Add ``from_us`` and ``until_us``, first and last maximum of the row's stretch."""
+    """Add ``from_us`` and ``until_us``, first and last maximum of the row's stretch, and their number ``risen``."""
     rising = F.when(F.col("latest").isNull() | (F.col("us") > F.col("latest")), F.col("us"))
     if not chunked:
         whole = Window.partitionBy(*KEYS, "epoch", "stretch")
-        return rows.withColumn("from_us", F.min(rising).over(whole)).withColumn("until_us", F.max(rising).over(whole))
-    spans = rows.groupBy(*KEYS, "epoch", "stretch").agg(F.min(rising).alias("from_us"), F.max(rising).alias("until_us"))
+        return rows.select("*", F.min(rising).over(whole).alias("from_us"), F.max(rising).over(whole).alias("until_us"), F.count(rising).over(whole).alias("risen"))
+    spans = rows.groupBy(*KEYS, "epoch", "stretch").agg(F.min(rising).alias("from_us"), F.max(rising).alias("until_us"), F.count(rising).alias("risen"))
     return rows.join(spans, [*KEYS, "epoch", "stretch"])  # AQE splits the side with a hot key
 
 
@@ -82,7 +82,7 @@ def alarms_and_duplicates(alarms: DataFrame, clears: DataFrame) -> DataFrame:
     simple = F.when(F.col("hold"), first).when(F.col("ttl_seconds") < 0, True).when(F.col("ttl_seconds") == 0, first | (F.col("us") >= F.col("latest"))).otherwise(rises & (F.col("us") == F.col("from_us")))
     columns = [c for c in alarms.columns]
     # At first + ttl the window is over: of whole microseconds, it is one shorter.
-    followed = assign_windows(rows.where(chained & rises).select(*columns, "epoch", "stretch", "ttl_us"), [*KEYS, "epoch", "stretch"], "us", F.col("ttl_us") - 1)
+    followed = assign_windows(rows.where(chained & rises).select(*columns, "epoch", "stretch", "ttl_us", "risen"), [*KEYS, "epoch", "stretch"], "us", F.col("ttl_us") - 1, F.col("risen"))
     decided = rows.where(~(chained & rises)).select(*columns, (~chained & simple).alias("opens"))
     both = decided.unionByName(followed.select(*columns, (F.col("us") == F.col("anchor")).alias("opens")))
     return both.select(*columns, F.when(F.col("opens"), "alarm").otherwise("duplicate").alias("reason"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A chunk in widths: longer chunks, fewer steps from chunk to chunk.
 CHUNK_WIDTHS = 4
+#: Rows of a key that are folded as one array; each step copies the array of the steps before.
+SMALL = 2000
 
 
 def exit_table(us: np.ndarray, chunk_start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,9 +45,33 @@ def leaders(us: np.ndarray, previous: int | None, width: int) -> np.ndarray:
     return out
 
 
-def assign_windows(rows: DataFrame, keys: list[str], us: str, width: Column | int) -> DataFrame:
+def assign_windows(rows: DataFrame, keys: list[str], us: str, width: Column | int, size: Column) -> DataFrame:
     """Add ``anchor``, the start of the row's window. No key may be null; ``width`` (in microseconds)
-    must be the same for all rows of a key."""
+    and ``size`` (the key's number of rows, or more) must be the same for all rows of a key.
+
+    A key of at most SMALL rows is one array, folded in the JVM; larger keys go chunk by chunk.
+    """
+    few = size <= SMALL
+    return _folded(rows.where(few), keys, us, width).unionByName(_chunked(rows.where(~few), keys, us, width))
+
+
+def _folded(rows: DataFrame, keys: list[str], us: str, width: Column | int) -> DataFrame:
+    others = [c for c in rows.columns if c not in keys]
+    wide = rows.withColumn("_width", width if isinstance(width, Column) else F.lit(width).cast("bigint"))
+    by_time = lambda a, b: F.when(a[us] < b[us], -1).when(a[us] > b[us], 1).otherwise(0)
+    line = wide.groupBy(*keys, "_width").agg(F.array_sort(F.collect_list(F.struct(*others)), by_time).alias("_rows"))
+
+    def step(state: Column, row: Column) -> Column:
+        first = F.when(state["first"].isNull() | (row[us] > state["first"] + F.col("_width")), row[us]).otherwise(state["first"])
+        return F.struct(first.alias("first"), F.array_append(state["anchors"], first).alias("anchors"))
+
+    start = F.struct(F.lit(None).cast("bigint").alias("first"), F.array().cast("array<bigint>").alias("anchors"))
+    anchors = F.aggregate("_rows", start, step, lambda state: state["anchors"])
+    placed = line.select(*keys, F.explode(F.arrays_zip(F.col("_rows").alias("row"), anchors.alias("anchor"))).alias("_at"))
+    return placed.select(*keys, *(F.col(f"_at.row.{c}").alias(c) for c in others), F.col("_at.anchor").alias("anchor")).select(*rows.columns, "anchor")
+
+
+def _chunked(rows: DataFrame, keys: list[str], us: str, width: Column | int) -> DataFrame:
     kinds = dict(rows.dtypes)
     columns = rows.columns
     rows = rows.withColumn("_width", width if isinstance(width, Column) else F.lit(width).cast("bigint")).withColumn("_chunk", F.floor(F.col(us) / (F.col("_width") * CHUNK_WIDTHS)))
