@@ -18,7 +18,7 @@ from trapflow.functions.expr import micros
 from trapflow.operators.sessions import merge_partials, partial_sessions
 from trapflow.operators.skew import hot_split_join
 from trapflow.operators.windows_from_first import assign_windows
-from trapflow.sources.shared import read_json, swap_json
+from trapflow.sources.shared import materialize, read_json, swap_json
 
 KEYS = ["origin", "ident"]
 #: Codes in one bitmap of Spark's bitmap functions.
@@ -80,11 +80,13 @@ class SeenStore:
         long = F.col("until") - F.col("anchor") > self.window_us
         chunks = merged.where(long)
         in_long = hot_split_join(rows.withColumn("chunk", F.floor(F.col("us") / F.lit(self.window_us))), chunks, [*KEYS, "chunk"], "chunk_n", ["session", "n"], "ord")
-        return merged.where(~long), assign_windows(in_long.drop("chunk"), [*KEYS, "session"], "us", self.window_us, F.col("n"))
+        in_long = materialize(in_long.drop("chunk"), "chains")
+        return merged.where(~long), assign_windows(in_long, [*KEYS, "session"], "us", self.window_us, F.col("n"))
 
     def deliver(self, df: DataFrame, origin: str, ident: str, time: str, order: str) -> Delivery:
         """Take a batch, store its new messages and give back what to drop."""
-        rows = self._rows(df, origin, ident, time, order)
+        # Read several times below; written once, the input is parsed once.
+        rows = materialize(self._rows(df, origin, ident, time, order), "deliveries")
         old = self._stored(rows)
         short, long_rows = self._found(rows if old is None else rows.unionByName(old.select(*KEYS, F.col("old_anchor").alias("us"), F.col("kept").alias("ord"))))
         found = short.groupBy(*KEYS, "anchor").agg(F.min("first").alias("first"), F.max("n").alias("n"), F.max("until").alias("until"))
