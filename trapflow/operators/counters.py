@@ -38,10 +38,19 @@ def interval_stats(outcomes: DataFrame, time: str, seconds: int = 60) -> DataFra
 
 
 def step_deltas(snapshots: DataFrame, time: str, columns: list[str]) -> DataFrame:
-    """Counters between each snapshot and the one before, and ``loss_free``: nothing dropped between."""
-    w = Window.orderBy(time)
-    rows = snapshots.select(time, *((F.col(c) - F.lag(c).over(w)).alias(c) for c in columns)).where(F.col(columns[0]).isNotNull())
-    return rows.withColumn("loss_free", F.col("queue_dropped") == 0)
+    """Counters between each snapshot and the one before, and ``loss_free``: nothing dropped between.
+
+    The line of snapshots is cut into days: a task sorts one day, and each day's first snapshot is
+    held against the last one of the day before it that has any. Null times are left out.
+    """
+    rows = snapshots.where(F.col(time).isNotNull()).select(time, *columns, F.to_date(time).alias("_day"))
+    lasts = rows.groupBy("_day").agg(F.max_by(F.struct(*columns), time).alias("_last"))
+    lasts = lasts.select("_day", F.lag("_last").over(Window.orderBy("_day")).alias("_last"))  # a row a day
+    w = Window.partitionBy("_day").orderBy(time)
+    rows = rows.withColumn("_before", F.lag(F.struct(*columns)).over(w)).join(lasts, "_day")
+    before = F.coalesce("_before", "_last")
+    out = rows.select(time, *((F.col(c) - before[c]).alias(c) for c in columns)).where(F.col(columns[0]).isNotNull())
+    return out.withColumn("loss_free", F.col("queue_dropped") == 0)
 
 
 def exposition(row: dict[str, float], prefix: str = "trapflow") -> str:
@@ -59,8 +68,8 @@ def queue_drops(packets: DataFrame, time: str, order: str, capacity: int, tick_s
     """Which packets a bounded queue would refuse if it were emptied once a tick: (order, dropped).
 
     In each tick the first ``capacity`` packets by ``order`` are taken, later ones are dropped. A tick
-    is cut into the packets before and after the limit by its own rows only. Null times are one tick.
+    is cut by its own rows only. A packet without a time is a tick of its own.
     """
     tick = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(tick_s * 1_000_000))
-    rn = F.row_number().over(Window.partitionBy("_tick").orderBy(order))
+    rn = F.row_number().over(Window.partitionBy("_tick", F.when(F.col("_tick").isNull(), F.col(order))).orderBy(order))
     return packets.select(order, tick.alias("_tick")).withColumn("dropped", rn > capacity).drop("_tick")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapflow.operators.prefix import running
+from trapflow.operators.skew import hot_split_join
 from trapflow.operators.windows_from_first import assign_windows
 from trapflow.sources.shared import materialize
 
@@ -61,8 +62,8 @@ def _spans(rows: DataFrame, chunked: bool) -> DataFrame:
     if not chunked:
         whole = Window.partitionBy(*KEYS, "epoch", "stretch")
         return rows.select("*", F.min(rising).over(whole).alias("from_us"), F.max(rising).over(whole).alias("until_us"), F.count(rising).over(whole).alias("risen"))
-    spans = rows.groupBy(*KEYS, "epoch", "stretch").agg(F.min(rising).alias("from_us"), F.max(rising).alias("until_us"), F.count(rising).alias("risen"))
-    return rows.join(spans, [*KEYS, "epoch", "stretch"])  # AQE splits the side with a hot key
+    spans = rows.groupBy(*KEYS, "epoch", "stretch").agg(F.min(rising).alias("from_us"), F.max(rising).alias("until_us"), F.count(rising).alias("risen"), F.count(F.lit(1)).alias("_n"))
+    return hot_split_join(rows, spans, [*KEYS, "epoch", "stretch"], "_n", ["from_us", "until_us", "risen"], "seq")
 
 
 def alarms_and_duplicates(alarms: DataFrame, clears: DataFrame) -> DataFrame:
