@@ -105,3 +105,12 @@ def test_tables(spark):
     assert {(f.pii_type, f.pii_key) for f in got[3].finds} == {("name", "lindqvist"), ("address", "1212"), ("email", "jan@x.example")} and len(got[3].finds) == 3
     assert got[92].redacted == "[NAME] called"
     assert personal_information(df.where("false"), "id", "body").count() == 0
+
+
+def test_lexicons_are_of_all_mails(spark):
+    def word(k):
+        return "".join("bdfgklmnpr"[int(c)] for c in f"{k:04}")
+
+    rows = [(k, f"From: Maria Q{word(k)} <m@x.example>\n\nsaw v{word(k // 2)}") for k in range(9000)]
+    lex = fit_lexicons(spark.createDataFrame(rows, "id long, body string"), "id", "body")
+    assert lex == Lexicons(frozenset({"maria"}), frozenset(f"q{word(k)}" for k in range(9000)), frozenset({"saw", *(f"v{word(k)}" for k in range(4500))}))

@@ -56,7 +56,7 @@ _DOTS = re.compile(_DOT)
 _LOCAL_LENGTH, _DOMAIN_LENGTH = 80, 300
 
 _GAP = r"[ .()/\n-]{1,3}"
-_NUMBER = re.compile(rf"(?<![\w.:@#])(?<!\d,)[+(]{{0,2}}\d+(?:{_GAP}\d+)*")
+_NUMBER = re.compile(rf"[+(\d](?<![\w.:@#][+(\d])(?<!\d,[+(\d])(?:(?<=\d)\d*|[+(]?\d+)(?:{_GAP}\d+)*")
 _PHONE_PLANS = (
     ("intl", re.compile(r"\+\s?\d{1,3}[\s().-]{0,3}(?:\(0\)[\s-]?)?\d[\d\s()./-]{5,}\Z")),
     ("00", re.compile(r"00[1-9]\d{0,2}[\s./-]+[\d(][\d\s()./-]{5,}\Z|00[1-9]\d{8,12}\Z")),
@@ -88,7 +88,7 @@ _BEFORE_SURNAME = re.compile(r"(?<![\w@.'’-])([^\W\d_]{2,}(?:['’-][^\W\d_]+)
 _MIDDLE = re.compile(r"[ \n]{1,3}[^\W\d_]\.(?!\w)")
 _LAST_WORD = re.compile(r"([^\W\d_]+)\W{0,4}\Z")
 _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
-_WRAPPED_HYPHEN = re.compile(r"(?<=\w)-[ \t]*\n[ \t]*(?=\w)")
+_WRAPPED_HYPHEN = re.compile(r"-(?<=\w-)[ \t]*\n[ \t]*(?=\w)")
 
 
 @dataclass(frozen=True)
@@ -110,13 +110,14 @@ class Span(NamedTuple):
 
 #: Blanks and hyphens that do not break, as plain ones; characters that show nothing are dropped.
 _PLAIN = {**dict.fromkeys(map(ord, "\u00a0\u2007\u202f\u2009\u2002\u2003\t"), " "), **dict.fromkeys(map(ord, "\u2010\u2011\u2012"), "-"), **dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff"), None)}
+_NOT_PLAIN = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
 
 
 def unwrapped(text: str) -> str:
     """Text as it is searched: no quote marks before its lines, a word broken at its hyphen put
     together, blanks and hyphens plain."""
     if not text.isascii() or "\t" in text:
-        text = text.translate(_PLAIN)
+        text = _NOT_PLAIN.sub(lambda m: _PLAIN[ord(m[0])] or "", text)
     if ">" in text or "|" in text:
         text = _QUOTE.sub("", text)
     return _WRAPPED_HYPHEN.sub("-", text) if "-" in text else text

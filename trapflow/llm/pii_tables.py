@@ -16,8 +16,8 @@ from trapflow.llm.mail import mail_text
 from trapflow.llm.pii import Lexicons, Model, find, redact, unwrapped
 from trapflow.llm.pii_training import trained
 
-#: Mails (about) that the lexicons are fitted on. They are drawn by a hash of the id.
-SAMPLE = 4000
+#: Counts that a task holds before it hands them on.
+HELD_COUNTS = 500_000
 
 _PEOPLE = re.compile(r"^(?:from|to|cc|bcc|reply-to|sender)[ \t]*:[ \t]*([^\r\n]*(?:\r?\n[ \t]+[^\r\n]*)*)", re.I | re.M)
 _DISPLAY = re.compile(r'(?:"([^"<>\r\n]+)"|([^"<>@,\r\n]+))\s*<[^<>@\s]+@')
@@ -51,17 +51,22 @@ def people(raw: str) -> list[tuple[str, str]]:
     return out
 
 
-def fit_lexicons(docs: DataFrame, doc_id: str, text: str, sample: int = SAMPLE) -> Lexicons:
-    """Given names, surnames and lower-case words of about ``sample`` mails drawn by a hash of the id.
+def fit_lexicons(docs: DataFrame, doc_id: str, text: str) -> Lexicons:
+    """Given names, surnames and lower-case words of all mails.
 
     Names are those that headers show; a given name counts if two mails show it, or one with a
-    surname. The sample's size bounds the lexicons, which are sent to the executors.
+    surname; a lower-case word counts if two mails have it. Every row is read, whatever its
+    ``doc_id``. Counts are combined in the tasks and over the cluster; the driver gets the words
+    that count, so what is sent to the executors grows with the vocabulary, not with the mails.
     """
-    every = max(1, docs.count() // max(1, sample))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).limit(2 * sample)
+    rows = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: Counter[tuple[str, str]] = Counter()
+
+        def counts() -> pd.DataFrame:
+            return pd.DataFrame([(k, w, n) for (k, w), n in got.items()], columns=["kind", "word", "n"])
+
         for pdf in batches:
             for t in pdf["text"]:
                 for given, surname in set(people(t)):
@@ -70,7 +75,10 @@ def fit_lexicons(docs: DataFrame, doc_id: str, text: str, sample: int = SAMPLE)
                     if surname:
                         got.update({("surname", x): 1 for x in {surname, *surname.split("-")} if len(x) > 1})
                 got.update(("common", w) for w in set(_LOWER.findall(mail_text(t))))
-        yield pd.DataFrame([(k, w, n) for (k, w), n in got.items()], columns=["kind", "word", "n"])
+                if len(got) >= HELD_COUNTS:
+                    yield counts()
+                    got.clear()
+        yield counts()
 
     counted = rows.mapInPandas(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     found: dict[str, set[str]] = {"given": set(), "surname": set(), "common": set()}
