@@ -114,3 +114,16 @@ def test_lexicons_are_of_all_mails(spark):
     rows = [(k, f"From: Maria Q{word(k)} <m@x.example>\n\nsaw v{word(k // 2)}") for k in range(9000)]
     lex = fit_lexicons(spark.createDataFrame(rows, "id long, body string"), "id", "body")
     assert lex == Lexicons(frozenset({"maria"}), frozenset(f"q{word(k)}" for k in range(9000)), frozenset({"saw", *(f"v{word(k)}" for k in range(4500))}))
+
+
+def test_long_runs_of_overlaps_are_decoded_whole():
+    r = random.Random(2)
+    found = [Span(3 * k, 3 * k + r.randint(8, 30), "phone", "k", (f"f{k}",)) for k in range(900)]
+    model = Model({f"f{k}": r.uniform(0.5, 2) for k in range(900)} | {"phone>phone": 0.3})
+    got = model.decode(found)
+    assert all(a.end <= b.start for a, b in zip(got, got[1:], strict=False))
+    best = []
+    for k, s in enumerate(found):
+        best.append(model.score(s) + max([0.0, *(best[j] + model.pair(found[j], s) for j in range(k) if found[j].end <= s.start)]))
+    total = sum(map(model.score, got)) + sum(model.pair(a, b) for a, b in zip(got, got[1:], strict=False))
+    assert abs(total - max(best)) < 1e-9

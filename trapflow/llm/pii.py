@@ -346,30 +346,37 @@ class Model:
         return self.weights.get(f"{a.kind}>{b.kind}", 0.0) if b.start - a.end <= NEAR else 0.0
 
     def decode(self, found: list[Span]) -> list[Span]:
-        """The set of spans without overlaps that scores best (Viterbi over spans)."""
-        out: list[Span] = []
-        for cluster in clusters(found):
-            out += self._best(cluster)
-        return out
-
-    def _best(self, spans: list[Span]) -> list[Span]:
-        scores = [self.score(s) for s in spans]
-        if len(spans) == 1:
-            return spans if scores[0] > 0 else []
-        best: list[tuple[float, int]] = []
-        for k, s in enumerate(spans):
-            top, back = 0.0, -1
-            for j in range(k):
-                if spans[j].end <= s.start and (v := best[j][0] + self.pair(spans[j], s)) > top:
-                    top, back = v, j
-            best.append((top + scores[k], back))
-        at = max(range(len(spans)), key=lambda k: best[k][0])
-        if best[at][0] <= 0:
-            return []
+        """The set of spans without overlaps that scores best (Viterbi over spans).
+
+        ``found`` is sorted by start. Only spans that end at most NEAR before the current one, or
+        after its start, are kept singly; of those before, the best set counts.
+        """
+        best: list[float] = []
+        back: list[int] = []
+        top, last = 0.0, -1
+        open_spans: list[int] = []
+        for k, s in enumerate(found):
+            still = []
+            for j in open_spans:
+                if found[j].end + NEAR >= s.start:
+                    still.append(j)
+                elif best[j] > top:
+                    top, last = best[j], j
+            open_spans = still
+            most, before = top, last
+            for j in open_spans:
+                if found[j].end <= s.start and (v := best[j] + self.pair(found[j], s)) > most:
+                    most, before = v, j
+            best.append(most + self.score(s))
+            back.append(before)
+            open_spans.append(k)
+        for j in open_spans:
+            if best[j] > top:
+                top, last = best[j], j
         chain = []
-        while at >= 0:
-            chain.append(spans[at])
-            at = best[at][1]
+        while last >= 0:
+            chain.append(found[last])
+            last = back[last]
         return chain[::-1]
 
     def expected(self, spans: list[Span]) -> tuple[list[float], dict[tuple[int, int], float], float]:
@@ -394,12 +401,12 @@ def _logsum(values: list[float]) -> float:
     return top + math.log(sum(math.exp(v - top) for v in values))
 
 
-#: Spans of one cluster; a longer one is cut where spans do not overlap, or at last within it.
+#: Spans of one cluster of the training; a longer one is cut where spans do not overlap, or at last within it.
 MAX_CLUSTER = 64
 
 
 def clusters(found: list[Span]) -> Iterable[list[Span]]:
-    """Runs of spans that overlap or stand close; between runs nothing is shared."""
+    """Runs of spans that overlap or stand close, to train on; between runs nothing is shared."""
     run: list[Span] = []
     reach = -1
     for s in found:
