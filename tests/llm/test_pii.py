@@ -127,3 +127,14 @@ def test_long_runs_of_overlaps_are_decoded_whole():
         best.append(model.score(s) + max([0.0, *(best[j] + model.pair(found[j], s) for j in range(k) if found[j].end <= s.start)]))
     total = sum(map(model.score, got)) + sum(model.pair(a, b) for a, b in zip(got, got[1:], strict=False))
     assert abs(total - max(best)) < 1e-9
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("It is at 12 Mill Road, Eastbury 12345-6789 now", {("address", "12123456789")}), ("Adres: Kerkstraat 12, 1234 AB Oudeberg", {("address", "121234")}), ("Adres: Kerkstraat 12\n1234AB Oudeberg", {("address", "121234")}),
+        ("Adresse: Birkenweg 7a, 8001 Hohenau", {("address", "78001")}), ("Calls rose from 12 May 2031 to June", set()), ("The ring was down on Monday 12, 2031 Hall", set()), ("Sent: January 12, 2031 The ring", set()), ("Serial 12345-67890 and 12345-678", set()),
+    ],
+)
+def test_forms_of_postcodes(text, want):
+    assert keys(text) == want

@@ -70,7 +70,8 @@ _PHONE_PLANS = (
 )
 # Some country codes; the usual number of digits differs by them.
 _COUNTRY_CODES = ("1", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49")
-_POSTCODE = re.compile(r"(?<![\w./-])(?<!\d,)(?:(?P<uk>[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2})|(?P<zip>\d{5}))(?![\w/]|[.,-]\d)", re.I)
+# Five digits or ZIP+4; Dutch codes; the four digits of AT, BE, CH and DK.
+_POSTCODE = re.compile(r"(?<![\w./-])(?<!\d,)(?:(?P<uk>[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2})|(?P<zip>\d{5}(?:-\d{4})?|[1-9]\d{3}\s?(?-i:[A-Z]{2}))|(?P<four>[1-9]\d{3}))(?![\w/]|[.,-]\d)", re.I)
 _WORDS = r"[^\W\d_][^\W\d_'’.-]*(?:['’.-]+[^\W\d_]+)*\.?"
 _NUMBER_FIRST = re.compile(rf"(?<![\w.,/:-])(\d{{1,4}}(?:\s?[a-zA-Z](?![\w]))?(?:\s(?:bis|ter|quater))?),?\s+({_WORDS}(?:,?\s+{_WORDS}){{0,8}}),?\s+\Z")
 _HOUSE_LAST = re.compile(r"\s(\d{1,4}(?:\s?[a-zA-Z])?),?\s+\Z")
@@ -239,11 +240,13 @@ def _identities(text: str, low: str) -> Iterable[Span]:
 
 def _addresses(text: str) -> Iterable[Span]:
     for p in _POSTCODE.finditer(text):
-        kind = "uk" if p["uk"] else "zip"
+        kind = p.lastgroup
         low = max(0, p.start() - _ADDRESS_BACK)
         before = text[low : p.start()]
-        town = _TOWN.match(text, p.end(), p.end() + 60) if kind == "zip" else None
+        town = _TOWN.match(text, p.end(), p.end() + 60) if kind != "uk" else None
         upper_town = bool(town) and town[1][:1].isupper()
+        if kind == "four" and not upper_town:  # its form alone is that of any year or count
+            continue
         code = re.sub(r"\D", "", p[0])
         shapes = []
         # Of several numbers that may open the span, each is a candidate.
@@ -266,6 +269,8 @@ def _addresses(text: str) -> Iterable[Span]:
             lower = sum(w[:1].islower() for w in words.split()) / count
             end = town.end() if upper_town and (shape == "last" or re.search(r"[,\n]\s*\Z", before)) else p.end()
             f = [f"address:{shape},{kind}", f"address:stops={min(stops, 2)}", f"address:{shape},street={bool(own)}", f"address:lower={lower > 0.5}", f"address:{kind},words={min(count, 9) // 3}", f"address:{shape},{kind},town={upper_town}"]
+            if kind == "four":
+                f.append(f"address:{shape},four,street={bool(own)}")
             if shape == "last":
                 prior = before[:start].rstrip()[-1:]
                 f += [f"address:start={words[:1].isupper()},{min(count, 4)}", f"address:prior={'word' if prior.isalnum() else 'mark'}", "address:own=" + ("no" if not own else "opens" if own.start() == 0 else "first" if " " not in words[: own.start()] and chr(10) not in words[: own.start()] else "later")]
