@@ -58,3 +58,14 @@ def test_long_and_deep_mails_end():
 def test_words():
     assert words("It’s “QUOTED”, re-used _and_ straße\xa0x2!") == ["its", "quoted", "re", "used", "and", "strasse", "x2"]
     assert words(None) == words("") == words(" .,") == []
+
+
+def test_text_of_deep_mails_is_kept():
+    deep = part("text/plain", "the innermost text")
+    for k in range(60):
+        deep = f'Content-Type: multipart/mixed; boundary="b{k}"\n\n--b{k}\n{deep}\n--b{k}--\n'
+    assert "the innermost text" in mail_text(HEAD + deep)
+    forwarded = HEAD + "\nthe innermost text"
+    for _ in range(60):
+        forwarded = HEAD + part("message/rfc822", forwarded)
+    assert "the innermost text" in mail_text(forwarded)

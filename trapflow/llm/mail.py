@@ -24,7 +24,7 @@ _BLOCK = re.compile(r"</?(?:p|div|br|hr|tr|table|li|ul|ol|h[1-6]|blockquote|pre|
 _BLANKS = re.compile(r"[ \t\r\n]+")
 _CELL = re.compile(r"</?t[dh]\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^<>]*(?:>|\Z)")
-#: Parts that one mail may nest.
+#: Parts that one mail may nest; what lies deeper is read as plain text.
 MAX_DEPTH = 20
 
 
@@ -107,6 +107,9 @@ def _parts(entity: str, out: list[str], depth: int, top: bool) -> None:
     if low.startswith("message/rfc822") and depth < MAX_DEPTH:
         _parts(body, out, depth + 1, True)
         return
+    if depth >= MAX_DEPTH and (low.startswith("message/rfc822") or low.startswith("multipart/") and _BOUNDARY.search(kind)):
+        out.append(body)
+        return
     if not (low.startswith("text/") or not low or "/" not in low):
         return
     charset = c[1] if (c := _CHARSET.search(kind)) else None
