@@ -5,8 +5,10 @@ import random
 
 import pytest
 
-from trapflow.operators import skew, windows_from_first
+from conftest import DATA
+from trapflow.operators import exactly_once, skew, windows_from_first
 from trapflow.operators.exactly_once import SeenStore
+from trapflow.plans import traps
 from trapflow.sources.shared import fresh_folder
 
 T0 = dt.datetime(2024, 1, 1)
@@ -88,3 +90,55 @@ def test_an_interrupted_delivery_leaves_no_trace(spark, monkeypatch):
 
 def test_empty(spark):
     assert found(SeenStore(spark, fresh_folder(spark, "t")), frame(spark, [])) == set()
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_late_rows_move_windows_as_in_one_delivery(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.choice("ab"), r.choice([1, 2]), r.uniform(0, 9000), q) for q in range(60)]
+    store, now = SeenStore(spark, fresh_folder(spark, "t"), shards=2), {}
+    for k in range(0, 60, 20):
+        d = store.deliver(frame(spark, rows[k : k + 20]), "src", "rid", "at", "seq")
+        now |= {q: False for q in range(k, k + 20)} | {r.order_extra: True for r in d.extra.collect()}
+        now |= {r.order: not r.kept for r in d.changed.collect()}
+    want = brute(rows)
+    assert {tuple(r) for r in store.pairs().collect()} == want
+    assert {q for q, extra in now.items() if extra} == {q for _, q in want}
+    store.compact()
+    assert {tuple(r) for r in store.pairs().collect()} == want
+
+
+def test_two_writers_give_what_one_gives(spark, monkeypatch):
+    folder, rows = fresh_folder(spark, "t"), [("a", i % 5 + 1, 3000.0 * i, i) for i in range(20)]
+    one, other = SeenStore(spark, folder, shards=2), SeenStore(spark, folder, shards=2)
+    swap, raced = exactly_once.swap_json, []
+
+    def late(*args):
+        if not raced:
+            raced.append(None)
+            raced[0] = other.deliver(frame(spark, rows[5:]), "src", "rid", "at", "seq").kept.count()
+        return swap(*args)
+
+    monkeypatch.setattr(exactly_once, "swap_json", late)
+    kept = one.deliver(frame(spark, [(o, i, s + 1, q + 100) for o, i, s, q in rows]), "src", "rid", "at", "seq").kept.count()
+    assert raced == [15] and kept == 5
+    codes = [(r.shard, r.code) for r in one.dictionary().collect()]
+    assert len(codes) == len(set(codes)) == sum(bin(b).count("1") for r in one.seen().collect() for b in r.bits) == 20
+
+
+def test_the_query_tests_bits(spark, monkeypatch):
+    tested, bit = [], exactly_once._bit
+    monkeypatch.setattr(exactly_once, "_bit", lambda *a: tested.append(1) or bit(*a))
+    store, arrivals, kept, _ = traps.deliveries(spark, DATA)
+    assert len(tested) == traps.DELIVERIES - 1
+    chosen = [(r.shard, r.code) for part in kept for r in part.collect()]
+    assert len(chosen) == len(set(chosen)) == store.dictionary().count() and len(chosen) < arrivals.count()
+    assert all(part.count() for part in kept)
+
+
+def test_codes_are_numbered_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(exactly_once, "PIECE", 7)
+    store = SeenStore(spark, fresh_folder(spark, "t"), shards=2)
+    found(store, frame(spark, [("a", q + 1, 0, q) for q in range(100)]))
+    codes = sorted((r.shard, r.code) for r in store.dictionary().collect())
+    assert codes == [(s, c) for s in (0, 1) for c in range(sum(x == s for x, _ in codes))]

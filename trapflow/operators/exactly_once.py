@@ -1,15 +1,20 @@
 """At-least-once deliveries made exactly-once: a store of seen messages.
 
-The store is a folder. ``dictionary/`` holds, in segments, one row for each message with its dense
-code in its shard; ``seen/`` holds bitmaps of 32,768 codes each (parquet compresses them);
-``current.json`` names the segments that count. A delivery writes its segments first and then swaps
-that file, so codes and bits appear together or not at all.
+The store is a folder of segments that are only ever added. ``dictionary/`` has one row for each
+message with its dense code in its shard, ``arrivals/`` the rows that were coded, ``kept/`` the arrival
+chosen for a code, ``seen/`` bitmaps of 32,768 codes each (their union counts), ``dead/`` codes that a
+late row has done away with. ``versions/N.json`` names the segments that count. A delivery writes its
+segments first and then creates the next version, which only one of two writers can do; the other
+starts again from the new state.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,11 +23,17 @@ from trapflow.functions.expr import micros
 from trapflow.operators.sessions import merge_partials, partial_sessions
 from trapflow.operators.skew import hot_split_join
 from trapflow.operators.windows_from_first import assign_windows
-from trapflow.sources.shared import materialize, read_json, swap_json
+from trapflow.sources.shared import materialize, newest_json, swap_json
 
 KEYS = ["origin", "ident"]
 #: Codes in one bitmap of Spark's bitmap functions.
 BITMAP_BITS = 32768
+#: New codes of a shard that are numbered in one task; a shard with more is numbered in pieces.
+PIECE = 500_000
+#: Times a delivery starts again because another came first.
+ATTEMPTS = 20
+#: A store with more segments of one kind is compacted by the next delivery.
+MAX_SEGMENTS = 64
 
 
 def _bit(bitmap: Column, position: Column) -> Column:
@@ -30,121 +41,261 @@ def _bit(bitmap: Column, position: Column) -> Column:
     return F.coalesce(F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1, F.lit(False))
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 @dataclass
 class Delivery:
-    """What one call of ``deliver`` found. ``messages``: a row for each message of the batch, with code
-    and kept order. ``extra``: (order_kept, order_extra) of each surplus row."""
+    """What one delivery found.
 
-    messages: DataFrame
+    ``kept``: the arrival chosen for each code whose bit was not set (shard, code, n, ord; us and what was
+    carried, if anything was). ``extra``: (order_kept, order_extra) of surplus rows. ``changed``: (order, kept) of rows
+    of earlier deliveries that a late row has made surplus, or no longer surplus.
+    """
+
+    kept: DataFrame
     extra: DataFrame
+    changed: DataFrame
 
 
 class SeenStore:
     """Messages seen so far, by origin and identifier.
 
     Rows of one origin with one identifier, received within ``window_s`` of the earliest of them, are
-    one message; the one with the smallest order is kept. Rows with null origin, time, order or
-    identifier, or an identifier in ``no_identifier``, are no deliveries and never surplus. Order must
-    be unique. Over several deliveries the first rows of stored messages take part; what was kept
-    once stays kept, and is the copy kept of any message it falls into.
+    one message; of its arrivals the one with the smallest order in the first delivery that brings any
+    is kept. Rows with null origin, time, order or identifier, or an identifier in ``no_identifier``,
+    are no deliveries and never surplus. Order must be unique; a row delivered again is surplus to
+    itself only if its order is another. A row that arrives late and is earlier than its message's
+    first moves the windows of that identifier: they are drawn anew over all its rows, so several
+    deliveries give what one gives if order rises with them. An empty delivery changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, window_s: float = 900, shards: int = 1024, no_identifier: tuple[int, ...] = (0,)) -> None:
+    def __init__(self, spark: SparkSession, folder: str, window_s: float = 900, shards: int = 64, no_identifier: tuple[int, ...] = (0,)) -> None:
         self.spark, self.folder, self.shards = spark, folder, shards
         self.window_us, self.no_identifier = int(window_s * 1_000_000), no_identifier
 
-    def _current(self) -> dict:
-        return read_json(self.spark, f"{self.folder}/current.json") or {"dictionary": [], "seen": None}
+    # ---- state
+
+    def _state(self) -> tuple[int, dict[str, Any]]:
+        version, state = newest_json(self.spark, f"{self.folder}/versions")
+        return version, {"dictionary": [], "arrivals": [], "kept": [], "seen": [], "dead": [], "next": [0] * self.shards} | (state or {})
+
+    def _read(self, state: dict[str, Any], kind: str, shards: list[int] | None = None) -> DataFrame | None:
+        """Segments of a kind. Files are sorted by shard, so a list of shards prunes what is read."""
+        if not state[kind]:
+            return None
+        rows = _union([self.spark.read.parquet(f"{self.folder}/{kind}/{s}") for s in state[kind]])
+        return rows if shards is None or len(shards) == self.shards else rows.where(F.col("shard").isin(*shards))
+
+    def _write(self, kind: str, df: DataFrame, *by: str) -> str:
+        segment = uuid.uuid4().hex
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.folder}/{kind}/{segment}")
+        return segment
+
+    def _alive(self, state: dict[str, Any], kind: str, shards: list[int] | None = None) -> DataFrame | None:
+        rows, dead = self._read(state, kind, shards), self._read(state, "dead", shards)
+        return rows if rows is None or dead is None else rows.join(dead, ["shard", "code"], "left_anti")
 
     def dictionary(self) -> DataFrame | None:
-        parts = self._current()["dictionary"]
-        return self.spark.read.parquet(*(f"{self.folder}/dictionary/{p}" for p in parts)) if parts else None
+        """shard, code, origin, ident and anchor of the messages that exist."""
+        rows = self._alive(self._state()[1], "dictionary")
+        return None if rows is None else rows.withColumn("fresh", F.lit(True))
 
-    def seen(self) -> DataFrame | None:
-        part = self._current()["seen"]
-        return self.spark.read.parquet(f"{self.folder}/seen/{part}") if part else None
+    def seen(self, shards: list[int] | None = None) -> DataFrame | None:
+        """shard, bucket and the union of its bitmaps."""
+        return self._seen(self._state()[1], shards)
 
-    def _rows(self, df: DataFrame, origin: str, ident: str, time: str, order: str) -> DataFrame:
-        rows = df.select(F.col(origin).alias("origin"), F.col(ident).alias("ident"), micros(F.col(time)).alias("us"), F.col(order).alias("ord"))
+    def _seen(self, state: dict[str, Any], shards: list[int] | None = None) -> DataFrame | None:
+        rows = self._read(state, "seen", shards)
+        return None if rows is None else rows.groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+    def _commit(self, work: Callable[[dict[str, Any]], tuple[dict[str, Any], Any]]) -> Any:
+        """Do ``work`` on the newest state and make what it adds the next version, or do it again."""
+        for _ in range(ATTEMPTS):
+            version, state = self._state()
+            added, result = work(state)
+            merged = {k: added.get(k, v) if k == "next" else [*v, *added.get(k, [])] for k, v in state.items()}
+            if swap_json(self.spark, f"{self.folder}/versions", version + 1, merged):
+                return result
+        raise RuntimeError("too many writers at once")
+
+    def compact(self) -> None:
+        """Write dictionary, bitmaps and kept arrivals as one segment each, without the dead ones."""
+        version, state = self._state()
+        fresh = dict(state)
+        for kind in ("dictionary", "arrivals", "kept"):
+            rows = self._alive(state, kind)
+            if rows is not None:
+                fresh[kind] = [self._write(kind, rows.repartition("shard").sortWithinPartitions("shard", "code"))]
+        bits = self._seen(state)
+        if bits is not None:
+            fresh["seen"] = [self._write("seen", bits.repartition("shard").sortWithinPartitions("shard", "bucket"))]
+        fresh["dead"] = []
+        swap_json(self.spark, f"{self.folder}/versions", version + 1, fresh)
+
+    # ---- identifiers to codes
+
+    def rows(self, df: DataFrame, origin: str, ident: str, time: str, order: str, carry: tuple[str, ...] = ()) -> DataFrame:
+        """The rows that are deliveries, as (origin, ident, us, ord, carry)."""
+        rows = df.select(F.col(origin).alias("origin"), F.col(ident).alias("ident"), micros(F.col(time)).alias("us"), F.col(order).alias("ord"), *carry)
         rows = rows.where("origin is not null and ident is not null and us is not null and ord is not null")
         return rows.where(~F.col("ident").isin(*self.no_identifier)) if self.no_identifier else rows
 
-    def _found(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Messages of these rows by chunk: (short ones with their chunks, rows of long ones with anchor)."""
-        merged = merge_partials(partial_sessions(rows, KEYS, "us", "ord", self.window_us), KEYS, self.window_us)
+    def _shard(self) -> Column:
+        return F.pmod(F.xxhash64(*KEYS), F.lit(self.shards)).cast("int")
+
+    def _messages(self, rows: DataFrame, carry: list[str]) -> DataFrame:
+        """(keys, anchor, until, n, new, ord, carry) of each message; ``carry`` is that of a message of one row.
+
+        Partial sessions by chunk find the stretches without a gap; a stretch no longer than the window
+        is one message, of the others the windows are followed row by row.
+        """
+        own = [F.sum("new").alias("new"), *(F.min(c).alias(c) for c in carry)]
+        merged = merge_partials(partial_sessions(rows, KEYS, "us", "ord", self.window_us, *own), KEYS, self.window_us)
         whole = Window.partitionBy(*KEYS, "session")
         merged = merged.select(
-            *KEYS, "chunk", "session", F.col("n").alias("chunk_n"), F.min("min_us").over(whole).alias("anchor"), F.max("max_us").over(whole).alias("until"),
-            F.min("min_order").over(whole).alias("first"), F.sum("n").over(whole).alias("n"),
+            *KEYS, "chunk", "session", F.col("n").alias("chunk_n"), F.min("min_us").over(whole).alias("anchor"), F.max("max_us").over(whole).alias("until"), F.min("chunk").over(whole).alias("head"),
+            F.min("min_order").over(whole).alias("ord"), F.sum("n").over(whole).alias("n"), F.sum("new").over(whole).alias("new"), *carry,
         )
         long = F.col("until") - F.col("anchor") > self.window_us
-        chunks = merged.where(long)
-        in_long = hot_split_join(rows.withColumn("chunk", F.floor(F.col("us") / F.lit(self.window_us))), chunks, [*KEYS, "chunk"], "chunk_n", ["session", "n"], "ord")
-        in_long = materialize(in_long.drop("chunk"), "chains")
-        return merged.where(~long), assign_windows(in_long, [*KEYS, "session"], "us", self.window_us, F.col("n"))
-
-    def deliver(self, df: DataFrame, origin: str, ident: str, time: str, order: str) -> Delivery:
-        """Take a batch, store its new messages and give back what to drop."""
-        # Read several times below; written once, the input is parsed once.
-        rows = materialize(self._rows(df, origin, ident, time, order), "deliveries")
-        old = self._stored(rows)
-        short, long_rows = self._found(rows if old is None else rows.unionByName(old.select(*KEYS, F.col("old_anchor").alias("us"), F.col("kept").alias("ord"))))
-        found = short.groupBy(*KEYS, "anchor").agg(F.min("first").alias("first"), F.max("n").alias("n"), F.max("until").alias("until"))
-        long_found = long_rows.groupBy(*KEYS, "anchor").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n"), F.max("us").alias("until"))
-        found = found.unionByName(long_found).withColumn("shard", self._shard())
-        if old is None:
-            found = found.select("*", F.lit(None).cast("bigint").alias("code"), F.lit(None).cast("bigint").alias("kept"), F.lit(0).cast("bigint").alias("offset"))
-        else:
-            found = self._with_codes(found, old)
-        # A new identifier gets the next free code of its shard; its first arrival is the one kept.
-        fresh = F.col("code").isNull()
-        number = F.row_number().over(Window.partitionBy("shard", fresh).orderBy(*KEYS, "anchor")) - 1 + F.col("offset")
-        coded = found.select("shard", F.coalesce("code", number).alias("code"), *KEYS, "anchor", "until", "n", fresh.alias("fresh"), F.coalesce("kept", "first").alias("kept"))
-        segment = uuid.uuid4().hex
-        at = f"{self.folder}/dictionary/{segment}"
-        coded.write.parquet(at)
-        coded = self.spark.read.schema(coded.schema).parquet(at)
-        self._commit(segment, coded, self.seen())
-        return Delivery(coded, self._extra(rows, coded))
+        columns = [*KEYS, "anchor", "until", "n", "new", "ord", *carry]
+        short = merged.where(~long & (F.col("chunk") == F.col("head"))).select(*columns)
+        chained = rows.withColumn("chunk", F.floor(F.col("us") / F.lit(self.window_us)))
+        chained = hot_split_join(chained, merged.where(long).drop("ord", "new", *carry), [*KEYS, "chunk"], "chunk_n", ["session", "n"], "ord")
+        placed = assign_windows(materialize(chained.drop("chunk"), "chains"), [*KEYS, "session"], "us", self.window_us, F.col("n"))
+        followed = placed.groupBy(*KEYS, "anchor").agg(F.max("us").alias("until"), F.count(F.lit(1)).alias("n"), F.sum("new").alias("new"), F.min("ord").alias("ord"), *(F.min(c).alias(c) for c in carry))
+        return short.unionByName(followed.select(*columns)).withColumn("shard", self._shard())
 
-    def _shard(self) -> Column:
-        return F.pmod(F.xxhash64(*KEYS), F.lit(self.shards)).cast("int")
+    def _encode(self, state: dict[str, Any], rows: DataFrame, carry: list[str], groups: str | None) -> tuple[dict[str, Any], DataFrame]:
+        """Code the messages of ``rows``: (what the state gets, arrivals with their codes)."""
+        rows = rows.withColumn("new", F.lit(1).cast("bigint")).withColumn("old_code", F.lit(None).cast("bigint"))
+        known = None
+        if state["dictionary"]:
+            shards = [r[0] for r in rows.select(self._shard()).distinct().collect()]
+            touched = rows.select(*KEYS).distinct()
+            known = materialize(self._alive(state, "dictionary", shards).join(touched, KEYS, "left_semi"), "known")
+            past = self._alive(state, "arrivals", shards).join(known.select(*KEYS).distinct(), KEYS, "left_semi")
+            rows = materialize(rows.unionByName(past.select(*KEYS, "us", "ord", *carry, F.lit(0).cast("bigint").alias("new"), F.col("code").alias("old_code"))), "rows")
+        one = [*carry, "old_code"]
+        messages = self._messages(rows, one)
+        if known is not None:
+            messages = messages.join(known.select(*KEYS, "anchor", "code"), [*KEYS, "anchor"], "left")
+        messages = materialize(messages, "messages")
+        added: dict[str, Any] = {}
+        unknown = messages if known is None else messages.where("code is null").drop("code")
+        numbered, added["next"], segment = self._number(unknown, state["next"])
+        added["dictionary"] = [segment]
+        coded = numbered.withColumn("fresh", F.lit(True))
+        if known is not None:
+            coded = coded.unionByName(messages.where("code is not null and new > 0").withColumn("fresh", F.lit(False)).select(*coded.columns))
+            gone = known.join(messages.select(*KEYS, "anchor"), [*KEYS, "anchor"], "left_anti")
+            added["dead"] = [self._write("dead", gone.select("shard", "code"))]
+        at = self._write("arrivals", self._arrivals(rows, coded, one), *([groups] if groups else []))
+        added["arrivals"] = [at]
+        return added, self.spark.read.parquet(f"{self.folder}/arrivals/{at}")
 
-    def _stored(self, rows: DataFrame) -> DataFrame | None:
-        """First rows of the stored messages (those whose bit is set) of the identifiers in ``rows``."""
-        old, seen = self.dictionary(), self.seen()
-        if old is None or seen is None:
-            return None
-        old = old.where("fresh").withColumn("bucket", F.bitmap_bucket_number("code")).join(seen, ["shard", "bucket"])
-        old = old.where(_bit(F.col("bits"), F.bitmap_bit_position("code")))
-        return old.select(*KEYS, F.col("anchor").alias("old_anchor"), "code", "kept").join(rows.select(*KEYS).distinct(), KEYS, "left_semi")
-
-    def _with_codes(self, found: DataFrame, old: DataFrame) -> DataFrame:
-        """Add code and kept order of messages that hold a stored one, and each shard's first free code."""
-        columns = [*KEYS, "anchor", "first", "n", "until", "shard"]
-        inside = F.col("old_anchor").between(F.col("anchor"), F.col("until"))
-        found = found.join(old, KEYS, "left").groupBy(*columns).agg(F.min(F.when(inside, F.struct("old_anchor", "code", "kept"))).alias("hit"))
-        found = found.select(*columns, F.col("hit.code").alias("code"), F.col("hit.kept").alias("kept"))
-        free = self.dictionary().where("fresh").groupBy("shard").agg((F.max("code") + 1).alias("offset"))
-        return found.join(free, "shard", "left").withColumn("offset", F.coalesce("offset", F.lit(0)))
-
-    def _commit(self, segment: str, coded: DataFrame, seen: DataFrame | None) -> None:
-        new = coded.where("fresh").groupBy("shard", F.bitmap_bucket_number("code").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("code")).alias("bits"))
-        if seen is not None:
-            new = seen.unionByName(new).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        version = uuid.uuid4().hex
-        new.write.option("compression", "zstd").parquet(f"{self.folder}/seen/{version}")
-        swap_json(self.spark, f"{self.folder}/current.json", {"dictionary": [*self._current()["dictionary"], segment], "seen": version})
+    def _number(self, messages: DataFrame, free: list[int]) -> tuple[DataFrame, list[int], str]:
+        """Give each message the next free code of its shard.
 
-    def _extra(self, rows: DataFrame, coded: DataFrame) -> DataFrame:
-        """Surplus rows: those in the span of a message of several rows, or of one stored before, but the kept one.
+        A shard is numbered in pieces of about PIECE messages: what stands before a piece is known from
+        the counts of the pieces, so no task sorts a whole shard.
+        """
+        pieces = max(1, -(-messages.count() // (self.shards * PIECE)))
+        cut = messages.withColumn("piece", F.pmod(F.shiftrightunsigned(F.xxhash64(*KEYS), 24), F.lit(pieces)))
+        sizes = cut.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("in_piece"))
+        before = F.sum("in_piece").over(Window.partitionBy("shard").orderBy("piece")) - F.col("in_piece")
+        inside = F.row_number().over(Window.partitionBy("shard", "piece").orderBy(*KEYS, "anchor")) - 1
+        numbered = cut.withColumn("inside", inside).join(sizes.select("shard", "piece", before.alias("before")), ["shard", "piece"])
+        code = F.get(F.array(*(F.lit(n).cast("bigint") for n in free)), F.col("shard")) + F.col("before") + F.col("inside")
+        segment = self._write("dictionary", numbered.withColumn("code", code).drop("piece", "inside", "before"))
+        written = self.spark.read.parquet(f"{self.folder}/dictionary/{segment}")
+        ends = dict(written.groupBy("shard").agg((F.max("code") + 1).alias("end")).collect())  # a row a shard
+        return written, [ends.get(s, n) for s, n in enumerate(free)], segment
+
+    def _arrivals(self, rows: DataFrame, coded: DataFrame, one: list[str]) -> DataFrame:
+        """Each row with the code of its message: of messages of one row from the message itself.
 
         A message touches at most two chunks as long as the window, and a chunk is touched by at most
         two messages of its key; so rows and messages meet in an equi-join on the chunk.
         """
+        columns = ["shard", "code", *KEYS, "us", "ord", "new", "n", *one]
         width = F.lit(self.window_us)
-        several = coded.where("n > 1 or not fresh").select(*KEYS, F.explode(F.sequence(F.floor(F.col("anchor") / width), F.floor(F.col("until") / width))).alias("chunk"), "anchor", "until", "kept", "n")
-        several = several.groupBy(*KEYS, "chunk").agg(F.array_sort(F.collect_list(F.struct("anchor", "until", "kept"))).alias("spans"), F.sum("n").alias("n"))
-        hit = hot_split_join(rows.withColumn("chunk", F.floor(F.col("us") / width)), several, [*KEYS, "chunk"], "n", ["spans"], "ord")
-        kept = F.get(F.filter("spans", lambda s: F.col("us").between(s.anchor, s.until)), F.lit(0)).kept
-        return hit.select(kept.alias("order_kept"), F.col("ord").alias("order_extra")).where("order_kept <> order_extra")
+        single = coded.where("n = 1").withColumn("us", F.col("anchor")).select(*columns)
+        several = coded.where("n > 1").select(*KEYS, F.explode(F.sequence(F.floor(F.col("anchor") / width), F.floor(F.col("until") / width))).alias("chunk"), "anchor", "until", "shard", "code", "n", "fresh")
+        spans = F.array_sort(F.collect_list(F.struct("anchor", "until", "shard", "code", "n", "fresh")))
+        several = several.groupBy(*KEYS, "chunk").agg(spans.alias("spans"), F.sum("n").alias("weight"))
+        hit = hot_split_join(rows.withColumn("chunk", F.floor(F.col("us") / width)), several, [*KEYS, "chunk"], "weight", ["spans"], "ord")
+        span = F.get(F.filter("spans", lambda s: F.col("us").between(s.anchor, s.until)), F.lit(0))
+        hit = hit.withColumn("span", span).where("span is not null and (new = 1 or span.fresh)")
+        return single.unionByName(hit.select("span.shard", "span.code", *KEYS, "us", "ord", "new", "span.n", *one))
+
+    # ---- codes to bits
+
+    def _admit(self, state: dict[str, Any], arrivals: DataFrame, carry: list[str]) -> tuple[dict[str, Any], DataFrame]:
+        """One arrival for each code whose bit is not set, and the bits that are set by that."""
+        columns = ["ord", "us", *carry] if carry else ["ord"]
+        # The arrival that is first in order; without carried columns a hash aggregation of two numbers.
+        first = F.min(F.struct(*columns)) if carry else F.min("ord")
+        several = arrivals.where("n > 1").groupBy("shard", "code").agg(F.max("n").alias("n"), first.alias("first"))
+        several = several.select("shard", "code", "n", *([F.col(f"first.{c}").alias(c) for c in columns] if carry else [F.col("first").alias("ord")]))
+        chosen = arrivals.where("n = 1").select("shard", "code", "n", *columns).unionByName(several).withColumn("bucket", F.bitmap_bucket_number("code"))
+        seen = self._seen(state)
+        if seen is not None:
+            tested = chosen.join(seen, ["shard", "bucket"], "left")
+            chosen = tested.where(F.col("bits").isNull() | ~_bit(F.col("bits"), F.bitmap_bit_position("code"))).drop("bits")
+        segment = self._write("kept", chosen)
+        kept = self.spark.read.parquet(f"{self.folder}/kept/{segment}")
+        bits = kept.groupBy("shard", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("code")).alias("bits"))
+        return {"kept": [segment], "seen": [self._write("seen", bits)]}, kept
+
+    # ---- deliveries
+
+    def encode(self, rows: DataFrame, carry: tuple[str, ...] = (), groups: str | None = None) -> DataFrame:
+        """Put the messages of ``rows`` (see ``rows``; read several times) into the dictionary and give back
+        every arrival with its code. ``groups``: a carried column by which the arrivals are laid down, if they
+        are admitted group by group."""
+        return self._commit(lambda state: self._encode(state, rows, list(carry), groups))
+
+    def admit(self, arrivals: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+        """Take coded arrivals: the one of each code whose bit is not set is kept, and the bits are united."""
+        return self._commit(lambda state: self._admit(state, arrivals, list(carry)))
+
+    def pairs(self, arrivals: DataFrame | None = None) -> DataFrame:
+        """(order_kept, order_extra) of the surplus rows of ``arrivals`` (default: all of the store)."""
+        state = self._state()[1]
+        rows, kept = self._alive(state, "arrivals") if arrivals is None else arrivals, self._read(state, "kept")
+        if rows is None or kept is None:
+            return self.spark.createDataFrame([], "order_kept bigint, order_extra bigint")
+        return self._pairs(rows, kept)
+
+    def _pairs(self, arrivals: DataFrame, kept: DataFrame) -> DataFrame:
+        # A message of one row has no surplus; a later arrival of a stored message counts those before.
+        several = arrivals.where("n > 1").select("shard", "code", "ord")
+        chosen = kept.select("shard", "code", "n", F.col("ord").alias("order_kept"))
+        hit = hot_split_join(several, chosen, ["shard", "code"], "n", ["order_kept"], "ord")
+        return hit.select("order_kept", F.col("ord").alias("order_extra")).where("order_kept <> order_extra")
+
+    def deliver(self, df: DataFrame, origin: str, ident: str, time: str, order: str, carry: tuple[str, ...] = ()) -> Delivery:
+        """Take a batch, store its new messages and give back what is kept and what to drop."""
+        rows = materialize(self.rows(df, origin, ident, time, order, carry), "deliveries")
+        if max(len(v) for k, v in self._state()[1].items() if k != "next") > MAX_SEGMENTS:
+            self.compact()
+
+        def work(state: dict[str, Any]) -> tuple[dict[str, Any], Delivery]:
+            added, arrivals = self._encode(state, rows, list(carry), None)
+            bits, kept = self._admit(state, arrivals, list(carry))
+            earlier = self._read(state, "kept")
+            known = kept if earlier is None else earlier.unionByName(kept)
+            return added | bits, Delivery(kept, self._pairs(arrivals.where("new = 1"), known), self._changed(arrivals, known))
+
+        return self._commit(work)
+
+    def _changed(self, arrivals: DataFrame, kept: DataFrame) -> DataFrame:
+        """(order, kept) of rows of earlier deliveries that are kept now and were not, or the other way round."""
+        moved = arrivals.where("new = 0").select("shard", "code", "old_code", "ord")
+        now = kept.select("shard", "code", F.col("ord").alias("now"))
+        was = kept.select("shard", F.col("code").alias("old_code"), F.col("ord").alias("was"))
+        both = moved.join(now, ["shard", "code"]).join(was, ["shard", "old_code"])
+        return both.where((F.col("now") == F.col("ord")) != (F.col("was") == F.col("ord"))).select(F.col("ord").alias("order"), (F.col("now") == F.col("ord")).alias("kept"))

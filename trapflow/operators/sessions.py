@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapflow.functions.expr import micros
 
 
-def partial_sessions(df: DataFrame, keys: list[str], us: str, order: str, gap_us: int) -> DataFrame:
+def partial_sessions(df: DataFrame, keys: list[str], us: str, order: str, gap_us: int, *more: Column) -> DataFrame:
     """One row for each key and time chunk as long as the gap: a local session.
 
     Two rows of one chunk are less than the gap apart, so a chunk never holds two sessions and a
     hash aggregation (combined before the shuffle) builds it. A key has as many chunks as fit into
-    its span of time, however many rows it holds.
+    its span of time, however many rows it holds. ``more``: further aggregates of a local session.
     """
     return df.groupBy(*keys, F.floor(F.col(us) / F.lit(gap_us)).alias("chunk")).agg(
-        F.min(us).alias("min_us"), F.max(us).alias("max_us"), F.min(order).alias("min_order"), F.max(order).alias("max_order"), F.count(F.lit(1)).alias("n")
+        F.min(us).alias("min_us"), F.max(us).alias("max_us"), F.min(order).alias("min_order"), F.max(order).alias("max_order"), F.count(F.lit(1)).alias("n"), *more
     )
 
 

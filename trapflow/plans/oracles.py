@@ -41,9 +41,16 @@ lead_(source, request_id, us) AS (SELECT source, request_id, min(us) FROM ids GR
 placed AS (SELECT i.*, l.us AS anchor FROM ids i JOIN lead_ l ON i.source = l.source AND i.request_id = l.request_id AND i.us BETWEEN l.us AND l.us + 900000000),
 kept AS (SELECT *, min(seq) OVER (PARTITION BY source, request_id, anchor) AS seq_kept FROM placed)"""
 P3_FOUND = _MESSAGES + " SELECT seq_kept, seq AS seq_extra FROM kept WHERE seq <> seq_kept"
-P1_FOUND = _MESSAGES + """, counted AS (SELECT * FROM rows_ WHERE kind IS NOT NULL AND seq NOT IN (SELECT seq FROM kept WHERE seq <> seq_kept))
+_COUNTED = _MESSAGES + ", counted AS (SELECT * FROM rows_ WHERE kind IS NOT NULL AND seq NOT IN (SELECT seq FROM kept WHERE seq <> seq_kept))"
+P1_FOUND = _COUNTED + """
 SELECT source AS source_ip, strftime(make_timestamp(us), '%Y-%m') AS month_key, kind AS trap_oid, arg_max(seq, (us, seq)) AS latest_seq FROM counted GROUP BY 1, 2, 3 HAVING count(*) >= 3"""
 
+P1_FEATURES = _COUNTED + """, months AS (SELECT source, strftime(make_timestamp(us), '%Y-%m') AS month_key, kind, count(*) AS n, sum(coalesce(len(varbinds), 0)) AS total, datediff('day', max(make_timestamp(us))::DATE, last_day(max(make_timestamp(us))::DATE)) AS days FROM counted GROUP BY ALL)
+SELECT source AS source_ip, month_key, '{' || string_agg('"' || kind || '":{"n":' || n || ',"total":' || printf('%.1f', total::DOUBLE) || ',"days_to_end":' || days || '}', ',' ORDER BY kind) || '}' AS features FROM months GROUP BY ALL"""
+P1_WINDOWS = _COUNTED + """, dated AS (SELECT *, datediff('day', make_timestamp(us)::DATE, DATE '2018-01-22') AS age FROM counted WHERE make_timestamp(us)::DATE <= DATE '2018-01-22')
+SELECT source AS source_ip, kind AS trap_oid, min(age)::INT AS days_since, arg_max(seq, (us, seq)) AS latest_seq, count(*) FILTER (age < 1) AS d1_n, count(*) FILTER (age < 7) AS d7_n, count(*) FILTER (age < 28) AS d28_n,
+coalesce(sum(coalesce(len(varbinds), 0)) FILTER (age < 28), 0)::BIGINT AS d28_total FROM dated GROUP BY ALL"""
+
 _RUNS = f"""WITH {_ROWS}, marked AS (SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER w OR us - lag(us) OVER w > 600000000 THEN 1 ELSE 0 END AS opens FROM rows_ WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY source ORDER BY us, seq)),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY source ORDER BY us, seq) AS run FROM marked)"""
 P5_FOUND = _RUNS + " SELECT min(seq) AS seq_min, max(seq) AS seq_max FROM numbered GROUP BY source, run HAVING count(*) >= 3"
@@ -67,4 +74,4 @@ read_ AS (SELECT seq, attr_name, CASE kind
     WHEN regexp_full_match(v, '[+-]?[0-9]{1,12}') THEN (v::BIGINT * 1000000)::VARCHAR END END AS r FROM num)
 SELECT seq, attr_name, CASE WHEN count(r) = 0 THEN 'unreadable' ELSE 'conflict' END AS issue FROM read_ GROUP BY seq, attr_name HAVING count(r) = 0 OR count(DISTINCT r) > 1"""
 
-ORACLES = {"p4_found": P4_FOUND, "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_sessions": P2_SESSIONS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_runs": P5_RUNS}
+ORACLES = {"p4_found": P4_FOUND, "p1_found": P1_FOUND, "p1_features": P1_FEATURES, "p1_windows": P1_WINDOWS, "p2_found": P2_FOUND, "p2_sessions": P2_SESSIONS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_runs": P5_RUNS}

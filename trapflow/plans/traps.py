@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from trapflow.functions.address import source_address
 from trapflow.functions.oid import trap_type
 from trapflow.operators.exactly_once import SeenStore
-from trapflow.operators.feature_table import calendar_features, daily_cumulative, wide
+from trapflow.operators.feature_table import calendar_features, daily_cumulative, wide, window_features
 from trapflow.operators.runs import runs
 from trapflow.operators.sessions import sessions
 from trapflow.operators.wide_table import issues, listed_attributes, nested_grid, to_columns
-from trapflow.sources.shared import fresh_folder
+from trapflow.sources.shared import fresh_folder, materialize
 from trapflow.sources.tables import table
 
 SESSION_GAP_S = 1800
@@ -20,6 +20,10 @@ MESSAGE_WINDOW_S = 900
 RUN_STEP_S = 600
 RUN_ROWS = 3
 FEATURE_ROWS = 3
+#: Groups of landing batches that are delivered one after the other.
+DELIVERIES = 4
+#: Day of the trailing windows.
+WINDOWS_AS_OF = "2018-01-22"
 
 
 def traps(spark: SparkSession, root: str, *columns: str) -> DataFrame:
@@ -35,31 +39,55 @@ def entries(df: DataFrame) -> Column:
     return F.when(F.size("varbinds") > 0, listed).otherwise(raw)
 
 
-def deliveries(spark: SparkSession, root: str):
+def deliveries(spark: SparkSession, root: str, *carry: str) -> tuple[SeenStore, DataFrame, list[DataFrame], DataFrame]:
+    """The landing batches delivered one after the other, in DELIVERIES groups of neighbours.
+
+    Gives the store, its coded arrivals, what each delivery kept, and all traps with source and time
+    (written once: parsed once). Identifiers of all batches are put into the dictionary first, so rows that
+    land late move no window; then each delivery keeps one arrival for each bit that no delivery before
+    it has set. ``carry``: columns of the traps that kept rows have, after their source.
+    """
+    kind, amount = trap_type(F.col("trap_oid")).alias("kind"), F.coalesce(F.size("varbinds"), F.lit(0)).alias("amount")
+    own = [c for c in (kind, amount) if carry]
+    rows = materialize(traps(spark, root, "request_id", "batch_id", *own), "traps")
+    first, last = rows.agg(F.min("batch_id"), F.max("batch_id")).first()
+    group = F.floor((F.col("batch_id") - F.lit(first)) * F.lit(DELIVERIES) / F.lit((last or 0) - (first or 0) + 1)).cast("int") if first is not None else F.lit(0)
     store = SeenStore(spark, fresh_folder(spark, "seen"), MESSAGE_WINDOW_S)
-    return store.deliver(traps(spark, root, "request_id"), "source", "request_id", "received_at", "seq")
+    rows = rows.withColumn("delivery", F.coalesce(group, F.lit(0)))
+    arrivals = store.encode(store.rows(rows, "source", "request_id", "received_at", "seq", ("delivery", *carry)), ("delivery", *carry), "delivery")
+    kept = [store.admit(arrivals.where(F.col("delivery") == k), ("origin", *carry) if carry else ()) for k in range(DELIVERIES)]
+    return store, arrivals, kept, rows
 
 
-def counted_features(spark: SparkSession, root: str) -> DataFrame:
-    """Monthly features of every source and trap type; surplus copies are not counted."""
-    extra = deliveries(spark, root).extra.select(F.col("order_extra").alias("seq"))
-    amount = F.coalesce(F.size("varbinds"), F.lit(0))
-    rows = traps(spark, root, trap_type(F.col("trap_oid")).alias("kind"), amount.alias("amount")).join(extra, "seq", "left_anti")
-    return calendar_features(daily_cumulative(rows, "source", "kind", "received_at", "seq", F.col("amount")))
+def cumulative(spark: SparkSession, root: str) -> DataFrame:
+    """Counts, totals (of variable bindings) and last row of every source and trap type by day, cumulated;
+    surplus copies are not counted. Stored in the shared folder: features of any window are read from it."""
+    _, _, kept, rows = deliveries(spark, root, "kind", "amount")
+    columns = ["source", "kind", "received_at", "seq", "amount"]
+    counted = rows.where("request_id is null or request_id = 0").select(*columns)
+    for part in kept:
+        counted = counted.unionByName(part.select(F.col("origin").alias("source"), "kind", F.timestamp_micros("us").alias("received_at"), F.col("ord").alias("seq"), "amount"))
+    return materialize(daily_cumulative(counted, "source", "kind", "received_at", "seq", F.col("amount")), "daily")
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    got = counted_features(spark, root).where(F.col("n") >= FEATURE_ROWS)
+    got = calendar_features(cumulative(spark, root)).where(F.col("n") >= FEATURE_ROWS)
     return got.select(F.col("entity").alias("source_ip"), F.date_format("unit", "yyyy-MM").alias("month_key"), F.col("kind").alias("trap_oid"), F.col("last_order").alias("latest_seq"))
 
 
 def p1_features(spark: SparkSession, root: str) -> DataFrame:
     """One row for each source and month: a map from trap type to count, total and recency."""
-    rows = counted_features(spark, root).withColumn("days_to_end", F.date_diff(F.last_day("unit"), "last_at"))
+    rows = calendar_features(cumulative(spark, root)).withColumn("days_to_end", F.date_diff(F.last_day("unit"), "last_at"))
     rows = rows.select(F.col("entity").alias("source_ip"), F.date_format("unit", "yyyy-MM").alias("month_key"), "kind", "n", "total", "days_to_end")
     return wide(rows, ["source_ip", "month_key"]).select("source_ip", "month_key", F.to_json("features").alias("features"))
 
 
+def p1_windows(spark: SparkSession, root: str) -> DataFrame:
+    """Trailing windows as of one day: counts and totals of a day, a week and four weeks, and recency."""
+    got = window_features(cumulative(spark, root), WINDOWS_AS_OF, {"d1": 1, "d7": 7, "d28": 28})
+    return got.select(F.col("entity").alias("source_ip"), F.col("kind").alias("trap_oid"), "days_since", F.col("last_order").alias("latest_seq"), "d1_n", "d7_n", "d28_n", F.col("d28_total").cast("bigint").alias("d28_total"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     got = sessions(traps(spark, root), "source", "received_at", "seq", SESSION_GAP_S)
     return got.select(F.col("entity").alias("source_ip"), F.col("order_min").alias("seq_min"), F.col("order_max").alias("seq_max"))
@@ -71,7 +99,8 @@ def p2_sessions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return deliveries(spark, root).extra.select(F.col("order_kept").alias("seq_kept"), F.col("order_extra").alias("seq_extra"))
+    store, arrivals, _, _ = deliveries(spark, root)
+    return store.pairs(arrivals).select(F.col("order_kept").alias("seq_kept"), F.col("order_extra").alias("seq_extra"))
 
 
 def _grid(spark: SparkSession, root: str):
@@ -105,6 +134,6 @@ def p5_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_features": p1_features, "p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found,
+    "p1_found": p1_found, "p1_features": p1_features, "p1_windows": p1_windows, "p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found,
     "p4_found": p4_found, "p4_wide": p4_wide, "p5_found": p5_found, "p5_runs": p5_runs,
 }

@@ -36,25 +36,36 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def read_json(spark: SparkSession, path: str) -> dict | None:
-    fs, at = _fs(spark, path)
+def newest_json(spark: SparkSession, folder: str) -> tuple[int, dict | None]:
+    """Number and content of the newest version in ``folder``; (0, None) if there is none."""
+    fs, at = _fs(spark, folder)
     if not fs.exists(at):
-        return None
-    with_stream = fs.open(at)
+        return 0, None
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    newest = max((int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit()), default=0)
+    if not newest:
+        return 0, None
+    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{newest}.json"))
     try:
-        return json.loads(bytes(with_stream.readAllBytes()).decode())
+        return newest, json.loads(bytes(stream.readAllBytes()).decode())
     finally:
-        with_stream.close()
+        stream.close()
 
 
-def swap_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Replace a small file in one step: written aside, then renamed over the old one."""
-    fs, at = _fs(spark, path)
-    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+def swap_json(spark: SparkSession, folder: str, version: int, value: dict) -> bool:
+    """Make ``value`` the version of that number, unless there is one: written aside, then renamed to a
+    name that must be free. False if another writer was first."""
+    fs, aside = _fs(spark, f"{folder}/aside-{uuid.uuid4().hex}")
     out = fs.create(aside)
     out.write(bytearray(json.dumps(value).encode()))
     out.close()
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{version}.json")
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-    context.rename(aside, at, overwrite)
+    try:
+        context.rename(aside, at, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception:  # noqa: BLE001 - a Py4JJavaError of any file system
+        if not fs.exists(at):
+            raise
+        fs.delete(aside, False)
+        return False
+    return True
