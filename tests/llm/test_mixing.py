@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from trapflow.llm.mixing import bisect_exponent, entropy, measured, plan, read_targets, realise, source_name, tempered, temperature_plan, token_counts
+from trapflow.llm.mixing import bisect_exponent, entropy, measured, plan, read_targets, realise, realised_shares, source_name, tempered, tempered_plan, temperature_plan, token_counts
 
 
 def test_tokens(spark):
@@ -86,3 +86,24 @@ def test_measured(spark):
 @pytest.mark.parametrize("exponent", [0.0, 1.0])
 def test_tempered(exponent):
     assert math.isclose(sum(tempered({"a": 0.9, "b": 0.1, "c": 0.0}, exponent).values()), 1)
+
+
+def test_what_short_sources_leave_is_tempered_and_realised(spark):
+    df = sizes(spark, ROWS + [(4000 + i, "mid", 5) for i in range(100)])
+    targets = {"big": (0.5, 2), "small": (0.3, 3), "none": (0.1, 5), "mid": (0.1, 4)}
+    exponent, plans = tempered_plan(df, targets)
+    by = {p.source: p for p in plans}
+    everything = sum(n for *_, n in ROWS) + 500
+    assert by["small"].short and by["none"].short and by["small"].given == 420 and by["none"].given == 0
+    assert math.isclose(sum(p.given for p in plans), everything, abs_tol=1) and exponent >= 0
+    assert by["big"].given >= by["big"].budget and by["mid"].given >= by["mid"].budget and all(p.given <= p.available for p in plans)
+    real = {r.source: r for r in realised_shares(df, plans).collect()}
+    assert all(abs(real[s].real_share - by[s].weight) < 0.01 for s in by) and math.isclose(sum(r.real_share for r in real.values()), 1)
+    assert {s for s, r in real.items() if r.falls_short} == {"small", "none"} == {p.source for p in plans if p.short}
+
+
+def test_no_room_at_all(spark):
+    df = sizes(spark, [(1, "a", 10), (2, "b", 10), (3, None, 80)])
+    exponent, plans = tempered_plan(df, {"a": (0.5, 1), "b": (0.5, 2)})
+    assert [p.given for p in plans] == [10, 20] and {r.source for r in realised_shares(df, plans).where("falls_short").collect()} == {"a", "b"}
+    assert realised_shares(sizes(spark, []), tempered_plan(sizes(spark, []), {"a": (1.0, 2)})[1]).where("falls_short").count() == 0

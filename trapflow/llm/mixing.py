@@ -66,6 +66,10 @@ def entropy(shares: dict[str, float]) -> float:
 def bisect_exponent(tokens: dict[str, int], target_entropy: float, max_repeats: dict[str, int] | None = None, budget: int = 0) -> float:
     """Exponent in [0, 64] at which the tempered shares reach an entropy, raised until no source needs
     more repeats than allowed for ``budget`` tokens (if any exponent up to 1 allows that)."""
+    return _exponent(tokens, target_entropy, {s: float(max_repeats.get(s, 1) * n) for s, n in tokens.items()} if max_repeats else None, budget)
+
+
+def _exponent(tokens: dict[str, int], target_entropy: float, limits: dict[str, float] | None, budget: float) -> float:
     total = sum(tokens.values())
     if not total:
         return 1.0
@@ -78,8 +82,8 @@ def bisect_exponent(tokens: dict[str, int], target_entropy: float, max_repeats:
         return hi
 
     exponent = bisect(lambda a: entropy(tempered(shares, a)) > target_entropy, 0.0, 64.0)
-    if max_repeats:
-        over = lambda a: any(p * budget > max_repeats.get(s, 1) * tokens[s] * (1 + 1e-12) for s, p in tempered(shares, a).items())
+    if limits:
+        over = lambda a: any(p * budget > limits[s] * (1 + 1e-12) for s, p in tempered(shares, a).items())
         if over(exponent) and exponent < 1.0:
             exponent = bisect(over, exponent, 1.0)
     return exponent
@@ -135,6 +139,35 @@ def plan(sizes: DataFrame, targets: dict[str, tuple[float, int]], budget: float
     return [SourcePlan(*r, r[6] / given if given else 0.0, r[5] < r[4]) for r in rows]
 
 
+def tempered_plan(sizes: DataFrame, targets: dict[str, tuple[float, int]], budget: float | None = None) -> tuple[float, list[SourcePlan]]:
+    """First exponent and plan of a mix that tempers what the targets leave free.
+
+    A source that can reach its target share has it; one that can't has all its repeats (``short``). What
+    the short ones leave goes to sources with room: their token shares raised to the exponent at which
+    they have the entropy of their targets, or at which none exceeds its room; a source that exceeds it at
+    any exponent is filled, and the rest is tempered again. ``weight`` is the normalised weight of the mix.
+    """
+    plans = plan(sizes, targets, budget)
+    given = {p.source: p.given for p in plans}
+    room = {p.source: p.available - p.given for p in plans if p.tokens and p.weight > 0 and p.available > p.given}
+    tokens, wanted = {p.source: p.tokens for p in plans}, {p.source: p.weight for p in plans}
+    free, first = math.fsum(p.budget for p in plans) - math.fsum(given.values()), None
+    while room and free > 0.5:
+        mine, share = {s: tokens[s] for s in room}, math.fsum(wanted[s] for s in room)
+        exponent = _exponent(mine, entropy({s: wanted[s] / share for s in room}), room, free)
+        first = exponent if first is None else first
+        parts = {s: free * w for s, w in tempered({s: n / sum(mine.values()) for s, n in mine.items()}, exponent).items()}
+        full = [s for s in room if parts[s] >= room[s]]
+        for s in full or list(room):
+            part = min(parts[s], room[s])
+            given[s] += part
+            free -= part
+            del room[s]
+    total = math.fsum(given.values())
+    made = [SourcePlan(p.source, p.tokens, given[p.source] / total if total else 0.0, p.max_repeats, p.budget, p.available, given[p.source], given[p.source] / total if total else 0.0, p.short) for p in plans]
+    return 1.0 if first is None else first, made
+
+
 def temperature_plan(sizes: DataFrame, targets: dict[str, tuple[float, int]], budget: float | None = None) -> tuple[float, list[SourcePlan]]:
     """Exponent and plan of a mix by temperature: natural token shares of the listed sources, raised to
     the exponent at which they have the entropy of the target shares, or repeat no source too often."""
@@ -147,6 +180,19 @@ def temperature_plan(sizes: DataFrame, targets: dict[str, tuple[float, int]], bu
     return exponent, plan(sizes, targets, size, tempered({s: n / total for s, n in tokens.items()}, exponent))
 
 
+PLAN = "source string, tokens bigint, weight double, max_repeats int, budget double, available bigint, given double, actual_share double, short boolean"
+
+
+def realised_shares(sizes: DataFrame, plans: list[SourcePlan]) -> DataFrame:
+    """The plan of each source beside what the realised mix holds of it: ``real_tokens``, ``real_share``, and
+    ``falls_short``: all repeats are used up and give less than the target."""
+    real = realise(sizes, plans).join(sizes.select("doc_id", "n"), "doc_id").groupBy("source").agg(F.sum(F.col("repeats") * F.col("n")).alias("real_tokens"))
+    rows = sizes.sparkSession.createDataFrame([tuple(vars(p).values()) for p in plans], PLAN).join(F.broadcast(real), "source", "left").withColumn("real_tokens", F.coalesce("real_tokens", F.lit(0)))
+    total = F.broadcast(real.agg(F.sum("real_tokens").alias("_total")))
+    rows = rows.join(total).withColumn("real_share", F.coalesce(F.col("real_tokens") / F.nullif(F.col("_total"), F.lit(0)), F.lit(0.0))).drop("_total")  # one row beside a row a source
+    return rows.withColumn("falls_short", (F.col("real_tokens") >= F.col("available")) & (F.col("real_tokens") < F.col("budget")))
+
+
 def realise(sizes: DataFrame, plans: list[SourcePlan], seed: int = 1) -> DataFrame:
     """(doc_id, source, repeats): how often each document is in the mix; those not in it are left out.
 
