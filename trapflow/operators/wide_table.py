@@ -78,23 +78,31 @@ def nested_grid(df: DataFrame, entity: str, entries: Column, attributes: list[At
     return df.select(F.col(entity).alias("entity"), (grid if attributes else F.array().cast("array<struct<text:string,issue:string>>")).alias("grid"))
 
 
-def long_grid(df: DataFrame, entity: str, attribute: str, value: str, order: str, attributes: list[Attribute]) -> DataFrame:
+def long_grid(df: DataFrame, entity: str, attribute: str, value: str, order: str, attributes: list[Attribute], entities: DataFrame | None = None) -> DataFrame:
     """(entity, grid) from rows entity, attribute, value. ``order`` says which of several values is last.
 
-    Each cell is hash-aggregated to a last, smallest and largest value before the shuffle, so an
-    entity with very many rows is no larger than its grid. Entities with no listed attribute have an
-    empty cell everywhere.
+    Values are read and each cell is hash-aggregated to a last, smallest and largest value before the
+    shuffle, so an entity with very many rows is no larger than its grid. The grid of all entities and
+    attributes is completed (positions are exploded from a constant list), the cells are joined to it from
+    the left, and each entity's cells are collected in the order of their positions. ``entities``: a table
+    with one row for each entity (column ``entity``); without it, the entities of ``df`` count. Entities
+    with no listed attribute have an empty cell everywhere; null entities are left out.
     """
     listed = {a.key: i for i, a in enumerate(attributes)}
-    rows = df.select(F.col(entity).alias("entity"), longest_prefix(plain(F.col(attribute)), listed).alias("at"), F.col(value).alias("value"), F.col(order).alias("ord"))
-    rows = rows.where("entity is not null").select("entity", "at", "ord", _read(attributes, F.col("at"), F.col("value")).alias("text"))
-    cells = rows.groupBy("entity", "at").agg(
+    rows = df.select(F.col(entity).alias("entity"), longest_prefix(plain(F.col(attribute)), listed).alias("at"), F.col(value).alias("value"), F.col(order).alias("ord")).where("entity is not null")
+    if entities is None:
+        entities = rows.select("entity").distinct()
+    if not attributes:
+        return entities.where("entity is not null").select("entity", F.array().cast("array<struct<text:string,issue:string>>").alias("grid"))
+    read = rows.where("at is not null").select("entity", "at", "ord", _read(attributes, F.col("at"), F.col("value")).alias("text"))
+    cells = read.groupBy("entity", "at").agg(
         F.max_by("text", F.when(F.col("text").isNotNull(), F.struct("ord", "text"))).alias("text"), F.min("text").alias("lo"), F.max("text").alias("hi")
     )
     issue = F.when(F.col("text").isNull(), "unreadable").when(F.col("lo") != F.col("hi"), "conflict")
-    got = cells.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.struct("text", issue.alias("issue")))))).alias("cells"))
-    empty = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("issue"))
-    return got.select("entity", F.array(*(F.coalesce(F.try_element_at("cells", F.lit(i)), empty) for i in range(len(attributes)))).alias("grid"))
+    cells = cells.select("entity", "at", "text", issue.alias("issue"))
+    grid = entities.where("entity is not null").select("entity", F.explode(F.sequence(F.lit(0), F.lit(len(attributes) - 1))).alias("at"))
+    line = grid.join(cells, ["entity", "at"], "left").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("at", "text", "issue"))).alias("line"))
+    return line.select("entity", F.transform("line", lambda c: F.struct(c["text"].alias("text"), c["issue"].alias("issue"))).alias("grid"))
 
 
 def to_columns(grid: DataFrame, attributes: list[Attribute]) -> DataFrame:
@@ -103,7 +111,9 @@ def to_columns(grid: DataFrame, attributes: list[Attribute]) -> DataFrame:
 
 
 def issues(grid: DataFrame, attributes: list[Attribute]) -> DataFrame:
-    """(entity, attr_name, issue) of the cells with a problem: ``unreadable`` or ``conflict``."""
-    names = F.array(*(F.lit(a.name) for a in attributes))
-    bad = grid.select("entity", F.posexplode_outer("grid").alias("at", "cell")).where("cell.issue is not null")
-    return bad.select("entity", F.get(names, F.col("at")).alias("attr_name"), F.col("cell.issue").alias("issue"))
+    """(entity, attr_name, issue) of the cells with a problem: ``unreadable`` (no value that the cast to the
+    attribute's type takes) or ``conflict``."""
+    cells = [F.get("grid", F.lit(i)) for i in range(len(attributes))]
+    said = [F.when(c.issue.isNotNull(), F.struct(F.lit(a.name).alias("attr_name"), F.when(typed(c.text, a.kind).isNull(), "unreadable").otherwise(c.issue).alias("issue"))) for c, a in zip(cells, attributes, strict=True)]
+    bad = F.array(*said) if said else F.array().cast("array<struct<attr_name:string,issue:string>>")
+    return grid.select("entity", F.explode(F.filter(bad, lambda x: x.isNotNull())).alias("bad")).select("entity", "bad.attr_name", "bad.issue")

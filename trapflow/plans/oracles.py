@@ -57,21 +57,28 @@ P5_FOUND = _RUNS + " SELECT min(seq) AS seq_min, max(seq) AS seq_max FROM number
 P5_RUNS = _RUNS + " SELECT source AS source_ip, any_value(kind) AS trap_oid, min(us) AS start_us, max(us) AS end_us, count(*) AS n_events FROM numbered GROUP BY source, run"
 
 #: Cells with a problem: values are read as the kind of the longest listed OID says.
-P4_FOUND = r"""WITH alias_ AS (SELECT ltrim(oid, '.') AS oid, attr_name, kind, unit FROM oid_alias),
-entry AS (SELECT seq, unnest(CASE WHEN len(varbinds) > 0 THEN list_transform(varbinds, lambda v: {'oid': v.oid, 'value': v.value}) ELSE list_transform(map_entries(raw_varbind_map), lambda e: {'oid': e.key, 'value': e.value}) END) AS e FROM trap_event),
-placed AS (SELECT seq, ltrim(regexp_replace(e.oid, '^\s+|\s+$', '', 'g'), '.') AS oid, regexp_replace(e.value, '^\s+|\s+$', '', 'g') AS v FROM entry),
-owned AS (SELECT p.seq, arg_max(a, length(a.oid)) AS a, any_value(p.v) AS v FROM (SELECT *, row_number() OVER () AS rid FROM placed) p JOIN alias_ a ON p.oid = a.oid OR starts_with(p.oid, a.oid || '.') GROUP BY p.seq, p.rid),
-bare AS (SELECT seq, a.attr_name AS attr_name, a.kind AS kind, v, CASE WHEN a.unit IS NOT NULL AND ends_with(lower(v), lower(a.unit)) THEN rtrim(left(v, length(v) - length(a.unit)), chr(32) || chr(9) || chr(10)) ELSE v END AS b,
+_CELLS = r"""WITH alias_ AS (SELECT ltrim(oid, '.') AS oid, attr_name, kind, unit FROM oid_alias),
+entry AS (SELECT seq, unnest(CASE WHEN len(varbinds) > 0 THEN list_transform(varbinds, lambda v, i: {'oid': v.oid, 'value': v.value, 'i': i}) ELSE list_transform(map_entries(raw_varbind_map), lambda e, i: {'oid': e.key, 'value': e.value, 'i': i}) END) AS e FROM trap_event),
+placed AS (SELECT seq, e.i AS i, ltrim(regexp_replace(e.oid, '^\s+|\s+$', '', 'g'), '.') AS oid, regexp_replace(e.value, '^\s+|\s+$', '', 'g') AS v FROM entry),
+owned AS (SELECT p.seq, arg_max(a, length(a.oid)) AS a, any_value(p.v) AS v, any_value(p.i) AS i FROM (SELECT *, row_number() OVER () AS rid FROM placed) p JOIN alias_ a ON p.oid = a.oid OR starts_with(p.oid, a.oid || '.') GROUP BY p.seq, p.rid),
+bare AS (SELECT seq, i, a.attr_name AS attr_name, a.kind AS kind, v, CASE WHEN a.unit IS NOT NULL AND ends_with(lower(v), lower(a.unit)) THEN rtrim(left(v, length(v) - length(a.unit)), chr(32) || chr(9) || chr(10)) ELSE v END AS b,
   CASE WHEN regexp_full_match(v, '[A-Za-z][A-Za-z0-9_ .-]*\(\s*[+-]?[0-9]+\s*\)') THEN regexp_extract(v, '([+-]?[0-9]+)\s*\)$', 1) ELSE v END AS u FROM owned),
 num AS (SELECT *, CASE WHEN b = v THEN u ELSE b END AS w FROM bare),
-read_ AS (SELECT seq, attr_name, CASE kind
+read_ AS (SELECT seq, i, attr_name, CASE kind
   WHEN 'string' THEN nullif(v, '')
   WHEN 'long' THEN CASE WHEN regexp_full_match(w, '[+-]?[0-9]+') AND try_cast(w AS HUGEINT) BETWEEN -9223372036854775808 AND 18446744073709551615 THEN try_cast(w AS HUGEINT)::VARCHAR WHEN regexp_full_match(w, '0[xX]0*[0-9a-fA-F]{1,16}') THEN try_cast('0x' || w[3:] AS UHUGEINT)::VARCHAR END
   WHEN 'double' THEN CASE WHEN regexp_full_match(b, '[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)?') AND isfinite(try_cast(replace(b, ',', '.') AS DOUBLE)) THEN (try_cast(replace(b, ',', '.') AS DOUBLE) + 0.0)::VARCHAR END
   WHEN 'boolean' THEN CASE WHEN lower(u) IN ('true', 'yes', 'on', '1') THEN 'true' WHEN lower(u) IN ('false', 'no', 'off', '2') THEN 'false' END
   WHEN 'timestamp' THEN CASE WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)? ?([Zz]|[+-][0-9]{2}(:?[0-9]{2})?)?') THEN epoch_us(try_cast(v AS TIMESTAMPTZ))::VARCHAR
     WHEN regexp_full_match(v, '0[xX][0-9a-fA-F]{16}') THEN epoch_us(try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d.%d+00', ('0x' || v[3:6])::INT, ('0x' || v[7:8])::INT, ('0x' || v[9:10])::INT, ('0x' || v[11:12])::INT, ('0x' || v[13:14])::INT, ('0x' || v[15:16])::INT, ('0x' || v[17:18])::INT) AS TIMESTAMPTZ))::VARCHAR
-    WHEN regexp_full_match(v, '[+-]?[0-9]{1,12}') THEN (v::BIGINT * 1000000)::VARCHAR END END AS r FROM num)
-SELECT seq, attr_name, CASE WHEN count(r) = 0 THEN 'unreadable' ELSE 'conflict' END AS issue FROM read_ GROUP BY seq, attr_name HAVING count(r) = 0 OR count(DISTINCT r) > 1"""
+    WHEN regexp_full_match(v, '[+-]?[0-9]{1,12}') THEN (v::BIGINT * 1000000)::VARCHAR END END AS r FROM num)"""
+P4_FOUND = _CELLS + """ SELECT seq, attr_name, CASE WHEN count(r) = 0 THEN 'unreadable' ELSE 'conflict' END AS issue FROM read_ GROUP BY seq, attr_name HAVING count(r) = 0 OR count(DISTINCT r) > 1"""
 
-ORACLES = {"p4_found": P4_FOUND, "p1_found": P1_FOUND, "p1_features": P1_FEATURES, "p1_windows": P1_WINDOWS, "p2_found": P2_FOUND, "p2_sessions": P2_SESSIONS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_runs": P5_RUNS}
+# The listed attributes, by whether their cells are doubles.
+_TEXT_CELLS = "alarm_text batt_pct cert_expiry circuit_ref device_id door_open err_count fan_rpm if_admin if_descr if_index if_oper in_octets last_change on_battery peer_as severity site_code".split()
+_DOUBLE_CELLS = "cpu_load latency_ms rx_power temp_c volt_in".split()
+P4_VALUES = f"""{_CELLS}, last_ AS (SELECT seq, {", ".join(f"arg_max(r, i) FILTER (attr_name = '{n}' AND r IS NOT NULL) AS {n}" for n in _TEXT_CELLS)},
+{", ".join(f"arg_max(r, i) FILTER (attr_name = '{n}' AND r IS NOT NULL)::DOUBLE AS {n}" for n in _DOUBLE_CELLS)} FROM read_ GROUP BY seq)
+SELECT t.seq, last_.* EXCLUDE (seq) FROM trap_event t LEFT JOIN last_ ON t.seq = last_.seq"""
+
+ORACLES = {"p4_found": P4_FOUND, "p4_values": P4_VALUES, "p1_found": P1_FOUND, "p1_features": P1_FEATURES, "p1_windows": P1_WINDOWS, "p2_found": P2_FOUND, "p2_sessions": P2_SESSIONS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_runs": P5_RUNS}

@@ -11,7 +11,7 @@ from trapflow.operators.exactly_once import SeenStore
 from trapflow.operators.feature_table import calendar_features, daily_cumulative, wide, window_features
 from trapflow.operators.runs import runs
 from trapflow.operators.sessions import sessions
-from trapflow.operators.wide_table import issues, listed_attributes, nested_grid, to_columns
+from trapflow.operators.wide_table import issues, listed_attributes, long_grid, nested_grid, to_columns
 from trapflow.sources.shared import fresh_folder, materialize
 from trapflow.sources.tables import table
 
@@ -103,20 +103,32 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return store.pairs(arrivals).select(F.col("order_kept").alias("seq_kept"), F.col("order_extra").alias("seq_extra"))
 
 
-def _grid(spark: SparkSession, root: str):
-    attributes = listed_attributes(table(spark, root, "oid_alias"))
+def attribute_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The traps' attribute-value rows: seq, place in the trap, key and value."""
     df = table(spark, root, "trap_event")
-    return nested_grid(df, "seq", entries(df), attributes), attributes
+    return df.select("seq", F.posexplode(entries(df)).alias("place", "e")).select("seq", "place", "e.key", "e.value")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    grid, attributes = _grid(spark, root)
+    attributes = listed_attributes(table(spark, root, "oid_alias"))
+    every = table(spark, root, "trap_event").select(F.col("seq").alias("entity"))
+    grid = long_grid(attribute_rows(spark, root), "seq", "key", "value", "place", attributes, every)
     return issues(grid, attributes).withColumnRenamed("entity", "seq")
 
 
 def p4_wide(spark: SparkSession, root: str) -> DataFrame:
-    grid, attributes = _grid(spark, root)
-    return to_columns(grid, attributes).withColumnRenamed("entity", "seq")
+    """One row a trap with typed columns. A trap's attribute rows lie nested in it, so its grid is made in
+    the row, without a shuffle."""
+    attributes = listed_attributes(table(spark, root, "oid_alias"))
+    df = table(spark, root, "trap_event")
+    return to_columns(nested_grid(df, "seq", entries(df), attributes), attributes).withColumnRenamed("entity", "seq")
+
+
+def p4_values(spark: SparkSession, root: str) -> DataFrame:
+    """The cells of the wide table in types that all engines print alike: doubles, and text for all else."""
+    wide_rows = p4_wide(spark, root)
+    kinds = {c: F.unix_micros(c).cast("string") if t == "timestamp" else F.col(c) if t == "double" else F.col(c).cast("string") for c, t in wide_rows.dtypes if c != "seq"}
+    return wide_rows.select("seq", *(v.alias(c) for c, v in kinds.items()))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
@@ -135,5 +147,5 @@ def p5_runs(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_features": p1_features, "p1_windows": p1_windows, "p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found,
-    "p4_found": p4_found, "p4_wide": p4_wide, "p5_found": p5_found, "p5_runs": p5_runs,
+    "p4_found": p4_found, "p4_wide": p4_wide, "p4_values": p4_values, "p5_found": p5_found, "p5_runs": p5_runs,
 }
