@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from trapflow.llm.pii import PLACEHOLDERS, Lexicons, Model, Span, find, redact, spans, unwrapped
+from trapflow.llm import pii_tables
 from trapflow.llm.pii_tables import fit_lexicons, people, personal_information
 from trapflow.llm.pii_training import _gold, sentences, trained
 
@@ -138,3 +139,30 @@ def test_long_runs_of_overlaps_are_decoded_whole():
 )
 def test_forms_of_postcodes(text, want):
     assert keys(text) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Call 020 7946 0958\n020 7946 0961", {("phone", "02079460958"), ("phone", "02079460961")}), ("Tel 030 12345 6789\n040 55512-331", {("phone", "030123456789"), ("phone", "04055512331")}),
+        ("(415) 555-0124\n(415) 555-0125\n(415) 555-0126", {("phone", "4155550124"), ("phone", "4155550125"), ("phone", "4155550126")}), ("Phone: +1 212 555\n0131\n", {("phone", "12125550131")}),
+        ("call +1 2 1 2 5 5 5 0 1 3 1 now", {("phone", "12125550131")}), ("y" * 100 + "@mail.quarto.example", {("email", "y" * 100 + "@mail.quarto.example")}), ("y" * 300 + "@mail.quarto.example", set()),
+        ("Adresse: Avenida de la Gran Paz de los Reyes 9, 28001 Villaseca", {("address", "928001")}),
+    ],
+)
+def test_nothing_is_cut_off(text, want):
+    assert keys(text) == want
+
+
+def test_no_head_of_a_find_stays():
+    long = "y" * 100 + "@mail.quarto.example"
+    for text, want in ((f"to {long} now", "to [EMAIL] now"), ("Adresse: Avenida de la Gran Paz de los Reyes 9, 28001 Villaseca.", "Adresse: [ADDRESS].")):
+        assert redact(text, find(unwrapped(text), LEX, trained())) == want
+
+
+def test_a_larger_vocabulary_is_refused(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "From: Maria Torberg <m@x.example>\n\nsome words that are seen twice") for k in range(2)], "id long, body string")
+    monkeypatch.setattr(pii_tables, "MAX_WORDS", 3)
+    with pytest.raises(ValueError, match="support"):
+        fit_lexicons(df, "id", "body")
+    assert fit_lexicons(df, "id", "body", support=3).surnames == {"torberg"}

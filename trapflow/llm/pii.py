@@ -52,8 +52,12 @@ _AROUND = re.compile(_AT)
 _LOCAL = re.compile(r"[\w!#$%&'*+/=?^{}~-]+(?:\.[\w!#$%&'*+/=?^{}~-]+)*\Z")
 _DOMAIN = re.compile(rf"[^\W_](?:[\w-]*\w)?(?:{_DOT}[^\W_](?:[\w-]*\w)?)+")
 _DOTS = re.compile(_DOT)
-#: Characters of the longest local part and domain that are looked at.
-_LOCAL_LENGTH, _DOMAIN_LENGTH = 80, 300
+#: Characters of the longest local part and domain there are; what is longer is no address, and not cut.
+_LOCAL_LENGTH, _DOMAIN_LENGTH = 256, 300
+_LOCAL_SIGNS = frozenset("_!#$%&'*+/=?^{}~.-")
+_TOP_LEVEL = re.compile(r"[^\W\d_]{2,24}\Z")
+_WORDY = re.compile(r"(?i)\sdot\s|[\[({]")
+_NEW_SENTENCE = re.compile(r"\.[A-ZÄÖÜ]|\s")
 
 _GAP = r"[ .()/\n-]{1,3}"
 _NUMBER = re.compile(rf"[+(\d](?<![\w.:@#][+(\d])(?<!\d,[+(\d])(?:(?<=\d)\d*|[+(]?\d+)(?:{_GAP}\d+)*")
@@ -78,7 +82,11 @@ _HOUSE_LAST = re.compile(r"\s(\d{1,4}(?:\s?[a-zA-Z])?),?\s+\Z")
 _STREET_WORD = re.compile(rf"{_WORDS}\Z")
 _TOWN = re.compile(rf"\s+([^\W\d_][^\W\d_]*(?:['’-][^\W\d_]+)*(?:[ -](?:am|an|der|de|la|le|les|sur|sous|del|[A-ZÄÖÜ][^\W\d_]*)(?:['’-][^\W\d_]+)*){{0,3}})")
 _STOP = re.compile(r"(?i)(?<!\bst)(?<!\brd)(?<!\bave)(?<!str)\.\s")
-_ADDRESS_BACK = 90
+#: Characters before a postcode in which its address may begin: more than the longest house number and nine words.
+_ADDRESS_BACK = 300
+
+_STREET_STOP = re.compile(r"[,:;.!?]\s")
+_OPENS, _STREET_PARTS = re.compile(r"(?<!\w)\d{1,4}(?!\d)"), re.compile(r"[^\s,]+")
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _INITIAL = re.compile(r"(?<![\w.])([^\W\d_])\.[ \n]{0,3}(?:[^\W\d_]\.[ \n]{0,3})?")
@@ -129,12 +137,23 @@ def _cue(text: str, start: int) -> str:
     return m[1].lower() if m else ""
 
 
+def _local_start(text: str, end: int) -> int:
+    """Where the characters of a local part that ends at ``end`` begin; -1 if they are too many."""
+    low, at = max(-1, end - _LOCAL_LENGTH - 1), end
+    while at > 0 and (text[at - 1].isalnum() or text[at - 1] in _LOCAL_SIGNS):
+        at -= 1
+        if at == low:
+            return -1
+    return at
+
+
 def _emails(text: str) -> Iterable[Span]:
     for at in _MARK.finditer(text):
         m = _AROUND.match(text, at.start() - (1 if at.start() and text[at.start() - 1] in " \n" and at[0][0] not in " \n" else 0))
-        d = m and _DOMAIN.match(text, m.end(), m.end() + _DOMAIN_LENGTH)
-        local = d and _LOCAL.search(text, max(0, m.start() - _LOCAL_LENGTH), m.start())
-        if not local:
+        first = _local_start(text, m.start()) if m else -1
+        d = first >= 0 and _DOMAIN.match(text, m.end(), m.end() + _DOMAIN_LENGTH)
+        local = d and _LOCAL.search(text, first, m.start())
+        if not local or d.end() == m.end() + _DOMAIN_LENGTH and text[d.end() : d.end() + 1].isalnum():
             continue
         box = local[0].lstrip("'*=/{")
         mark = m[0].strip()
@@ -145,52 +164,65 @@ def _emails(text: str) -> Iterable[Span]:
         labels = [d[0][i:j] for i, j in zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(d[0])], strict=True)]
         # Every domain of two or more labels may be the end: after a full stop a new sentence begins.
         for n in range(2, len(labels) + 1):
-            if not re.fullmatch(r"[^\W\d_]{2,24}", labels[n - 1]):
+            if not _TOP_LEVEL.match(labels[n - 1]):
                 continue
             whole = n == len(labels)
             end = len(d[0]) if whole else cuts[n - 1][0]
             f = [f"email:mark={'@' if plain else 'word' if word else 'bracket'}", f"email:spaced={spaced}", f"email:whole={whole}"]
-            if word and d[0][: end].count(".") and not re.search(r"(?i)\sdot\s|[\[({]", d[0][:end]):
+            if word and d[0][: end].count(".") and not _WORDY.search(d[0][:end]):
                 f.append("email:at-plain-domain")
-            if not whole and re.match(r"\.[A-ZÄÖÜ]|\s", d[0][end:]):
+            if not whole and _NEW_SENTENCE.match(d[0][end:]):
                 f.append("email:stop-then-capital")
             yield Span(m.start() - len(box), d.start() + end, "email", f"{box}@{'.'.join(labels[:n])}".lower(), tuple(f))
 
 
-def _groups(m: re.Match) -> list[tuple[int, int]]:
-    return [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer(r"\d+", m[0])]
+_SPACES, _NO_DIGIT, _NO_CODE = re.compile(r"\s+"), re.compile(r"\D"), re.compile(r"\D|^00")
+_EXTENSION, _X_DIGIT = re.compile(r"[ ,]{0,2}(?:ext\b|x ?\d|ext\.)", re.I), re.compile(r"x\d")
+_DIGITS = re.compile(r"\d+")
+#: Digits of the shortest and longest phone number.
+_LEAST, _MOST = 7, 15
 
 
 def _phones(text: str) -> Iterable[Span]:
     for m in _NUMBER.finditer(text):
-        if sum(c.isdigit() for c in m[0]) < 7:
+        if m.end() - m.start() < _LEAST:
+            continue
+        groups = [(g.start(), g.end()) for g in _DIGITS.finditer(text, m.start(), m.end())]
+        if sum(e - s for s, e in groups) < _LEAST:
             continue
-        groups = _groups(m)
-        for i in range(len(groups)):
+        last = len(groups) - 1
+        ends_line = [k == last or "\n" in text[groups[k][1] : groups[k + 1][0]] for k in range(last + 1)]
+        for i in range(last + 1):
             start = groups[i][0]
             while start > m.start() and text[start - 1] in "+(" and start - 1 >= (groups[i - 1][1] if i else m.start()):
                 start -= 1
             digits = 0
-            for j in range(i, min(len(groups), i + 8)):
+            for j in range(i, last + 1):
                 digits += groups[j][1] - groups[j][0]
-                if digits < 7 or digits > 15:
+                if digits < _LEAST:
                     continue
+                if digits > _MOST:
+                    break
                 end = groups[j][1]
-                body = re.sub(r"\s+", " ", text[start:end])
+                body = _SPACES.sub(" ", text[start:end])
                 plan = next((n for n, p in _PHONE_PLANS if p.match(body)), "none")
-                if plan == "none" and not (i == 0 and j == len(groups) - 1):
+                whole = i == 0 and j == last
+                if plan == "none" and not whole:
                     continue
                 after = text[end : end + 1]
-                if after.isalnum() and not re.match(r"x\d", text[end : end + 2]) or text[end : end + 2].lstrip(".,:/-")[:1].isdigit() and after in ".,:/-":
+                if after.isalnum() and not _X_DIGIT.match(text, end, end + 2) or text[end : end + 2].lstrip(".,:/-")[:1].isdigit() and after in ".,:/-":
                     continue
-                code = next((c for c in _COUNTRY_CODES if re.sub(r"\D|^00", "", body).startswith(c)), "?") if plan in ("intl", "00") else plan
+                code = next((c for c in _COUNTRY_CODES if _NO_CODE.sub("", body).startswith(c)), "?") if plan in ("intl", "00") else plan
                 lines = text.count("\n", start, end)
-                last = "line" if "\n" in text[groups[j - 1][1] : groups[j][0]] else "same" if j > i else "one"
-                f = [f"phone:plan={plan}", f"phone:cue={_cue(text, start)}", f"phone:whole={i == 0 and j == len(groups) - 1}", f"phone:left={i == 0}", f"phone:plan+left={plan},{i == 0}"]
-                f += [f"phone:code={code},{digits}", f"phone:lines={min(lines, 2)}", f"phone:last={last}"]
-                if re.match(r"[ ,]{0,2}(?:ext\b|x ?\d|ext\.)", text[end : end + 8], re.I):
+                final = "line" if "\n" in text[groups[j - 1][1] : groups[j][0]] else "same" if j > i else "one"
+                f = [f"phone:plan={plan}", f"phone:cue={_cue(text, start)}", f"phone:whole={whole}", f"phone:left={i == 0}", f"phone:plan+left={plan},{i == 0}"]
+                f += [f"phone:code={code},{digits}", f"phone:lines={min(lines, 2)}", f"phone:last={final}"]
+                if not whole and ends_line[j] and (i == 0 or ends_line[i - 1]):
+                    # Beside numbers on neighbouring lines: all of its own lines.
+                    f += ["phone:own-lines", f"phone:own-lines,{plan}", f"phone:own-lines,{code},{digits}", f"phone:own-lines,{min(lines, 2)}", f"phone:own-lines,left={i == 0}"]
+                if _EXTENSION.match(text, end, end + 8):
                     f.append("phone:extension")
-                yield Span(start, end, "phone", re.sub(r"\D", "", text[start:end]), tuple(f))
+                yield Span(start, end, "phone", _NO_DIGIT.sub("", text[start:end]), tuple(f))
 
 
 #: Characters an identity number of each kind may have, and where its letters stand.
@@ -223,15 +255,18 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
 
 
+_NO_SIGN = re.compile(r"[\W_]")
+
+
 def _identities(text: str, low: str) -> Iterable[Span]:
     for m in _id_cues(text, low):
         cue = m.lastgroup
-        v = _ID_VALUE.match(text, m.end(), m.end() + 32)
-        if not v:
+        v = _ID_VALUE.match(text, m.end(), m.end() + 96)
+        if not v or v.end() == m.end() + 96:  # more digits than any number has
             continue
-        ends = sorted({v.end(), *(m.end() + g.end() for g in re.finditer(r"\d+", v[0]))})
+        ends = sorted({v.end(), *(g.end() for g in _DIGITS.finditer(text, v.start(), v.end()))})
         for end in ends:
-            key = re.sub(r"[\W_]", "", text[v.start() : end]).upper()
+            key = _NO_SIGN.sub("", text[v.start() : end]).upper()
             if end < len(text) and text[end].isalnum() or not _ID_FORMS[cue].match(key):
                 continue
             f = (f"id:cue={cue}", f"id:whole={end == v.end()}", f"id:usual={len(key) in _ID_LENGTHS[cue]}", f"id:gap={min(2, text[m.start() : m.end()].count(chr(10)))}")
@@ -247,34 +282,34 @@ def _addresses(text: str) -> Iterable[Span]:
         upper_town = bool(town) and town[1][:1].isupper()
         if kind == "four" and not upper_town:  # its form alone is that of any year or count
             continue
-        code = re.sub(r"\D", "", p[0])
+        code = _NO_DIGIT.sub("", p[0])
         shapes = []
         # Of several numbers that may open the span, each is a candidate.
-        for x in re.finditer(r"(?<!\w)\d+", before):
+        for x in _OPENS.finditer(before):
             if m := _NUMBER_FIRST.match(before, x.start()):
                 shapes.append(("first", m.start(), m[2], m[1]))
         if h := _HOUSE_LAST.search(before, max(0, len(before) - 12)):
             # The street may begin at any of the words before the house number.
-            words = list(re.finditer(r"[^\s,]+", before[: h.start()]))[-5:]
+            words = list(_STREET_PARTS.finditer(before, 0, h.start()))[-8:]
             for w in reversed(words):
                 if not _STREET_WORD.match(w[0]):
                     break
                 shapes.append(("last", w.start(), before[w.start() : h.start()], h[1]))
-                if w is not words[0] and re.search(r"[,:;.!?]\s", before[words[words.index(w) - 1].end() - 1 : w.start()]):
+                if w is not words[0] and _STREET_STOP.search(before[words[words.index(w) - 1].end() - 1 : w.start()]):
                     break
         for shape, start, words, house in shapes:
             own = _STREET.search(words)
             count = len(words.split())
             stops = len(_STOP.findall(words))
             lower = sum(w[:1].islower() for w in words.split()) / count
-            end = town.end() if upper_town and (shape == "last" or re.search(r"[,\n]\s*\Z", before)) else p.end()
+            end = town.end() if upper_town and (shape == "last" or before.rstrip(" ")[-1:] in (",", "\n")) else p.end()
             f = [f"address:{shape},{kind}", f"address:stops={min(stops, 2)}", f"address:{shape},street={bool(own)}", f"address:lower={lower > 0.5}", f"address:{kind},words={min(count, 9) // 3}", f"address:{shape},{kind},town={upper_town}"]
             if kind == "four":
                 f.append(f"address:{shape},four,street={bool(own)}")
             if shape == "last":
                 prior = before[:start].rstrip()[-1:]
                 f += [f"address:start={words[:1].isupper()},{min(count, 4)}", f"address:prior={'word' if prior.isalnum() else 'mark'}", "address:own=" + ("no" if not own else "opens" if own.start() == 0 else "first" if " " not in words[: own.start()] and chr(10) not in words[: own.start()] else "later")]
-            yield Span(low + start, end, "address", re.sub(r"\D", "", house) + code, tuple(f))
+            yield Span(low + start, end, "address", _NO_DIGIT.sub("", house) + code, tuple(f))
 
 
 def _case(word: str) -> str:

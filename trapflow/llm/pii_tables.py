@@ -18,6 +18,8 @@ from trapflow.llm.pii_training import trained
 
 #: Counts that a task holds before it hands them on.
 HELD_COUNTS = 500_000
+#: Words of the lexicons, a bound on what is sent to every executor; above it the work is refused.
+MAX_WORDS = 5_000_000
 
 _PEOPLE = re.compile(r"^(?:from|to|cc|bcc|reply-to|sender)[ \t]*:[ \t]*([^\r\n]*(?:\r?\n[ \t]+[^\r\n]*)*)", re.I | re.M)
 _DISPLAY = re.compile(r'(?:"([^"<>\r\n]+)"|([^"<>@,\r\n]+))\s*<[^<>@\s]+@')
@@ -51,13 +53,13 @@ def people(raw: str) -> list[tuple[str, str]]:
     return out
 
 
-def fit_lexicons(docs: DataFrame, doc_id: str, text: str) -> Lexicons:
+def fit_lexicons(docs: DataFrame, doc_id: str, text: str, support: int = 2) -> Lexicons:
     """Given names, surnames and lower-case words of all mails.
 
     Names are those that headers show; a given name counts if two mails show it, or one with a
-    surname; a lower-case word counts if two mails have it. Every row is read, whatever its
+    surname; a lower-case word counts if ``support`` mails have it. Every row is read, whatever its
     ``doc_id``. Counts are combined in the tasks and over the cluster; the driver gets the words
-    that count, so what is sent to the executors grows with the vocabulary, not with the mails.
+    that count, at most MAX_WORDS: with a larger vocabulary a ValueError asks for more support.
     """
     rows = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
 
@@ -82,8 +84,11 @@ def fit_lexicons(docs: DataFrame, doc_id: str, text: str) -> Lexicons:
 
     counted = rows.mapInPandas(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     found: dict[str, set[str]] = {"given": set(), "surname": set(), "common": set()}
-    for r in counted.where("n >= 2 or kind = 'surname'").toLocalIterator():
+    counting = F.when(F.col("kind") == "surname", 1).when(F.col("kind") == "given", 2).otherwise(support)
+    for r in counted.where(F.col("n") >= counting).limit(MAX_WORDS + 1).toLocalIterator():
         found[r["kind"]].add(r["word"])
+    if sum(map(len, found.values())) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} words: ask for more support")
     return Lexicons(frozenset(found["given"]), frozenset(found["surname"] - found["given"]), frozenset(found["common"] - found["surname"]))
 
 

@@ -176,6 +176,32 @@ def postcode_sentences(count: int, seed: int) -> list[tuple[str, list[tuple[int,
     return out
 
 
+def line_sentences(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts with bare phone numbers on neighbouring lines, labelled, or one number over two lines, or columns
+    of other numbers."""
+    make = _Maker(seed)
+    r = make.r
+    out = []
+    for _ in range(count):
+        text, labels, k = r.choice(["Call ", "Tel ", "Tel. ", "mob. ", "Phone: ", "Regards,\n", "Rufen Sie an: ", "Joindre ", ""]), [], r.random()
+        if k < 0.2:
+            value = make.phone()
+            at = [i for i, c in enumerate(value) if c == " "]
+            value = value[: at[-1]] + "\n" + value[at[-1] + 1 :] if at else value
+            labels.append((len(text), len(text) + len(value), "phone"))
+            text += value
+        elif k < 0.4:
+            text = r.choice(["Lots:\n", "Counted:\n", "Rows\n", ""]) + "\n".join(make.digits(r.choice(["### ### ###", "#### ####", "## ### ##", "#######"])) for _ in range(r.randint(2, 4)))
+        else:
+            for n in range(r.randint(2, 4)):
+                text += "\n" if n else ""
+                value = make.phone()
+                labels.append((len(text), len(text) + len(value), "phone"))
+                text += value
+        out.append((text + r.choice(["", "\n", "\n\nThe ring is down.", "\nNetwork Desk\n"]), labels))
+    return out
+
+
 def _gold(found: list[Span], labels: list[tuple[int, int, str]], text: str) -> set[int]:
     """Candidates that are labelled spans: of each label, the one of its type with the same characters that matter."""
     want = {(kind, s, "".join(c for c in text[s:e] if c.isalnum())) for s, e, kind in labels}
@@ -197,13 +223,15 @@ def _fits(span: Span, chars: str, text: str) -> int:
 def train(count: int = SENTENCES, passes: int = PASSES, seed: int = 7, rate: float = 0.3, l2: float = 2e-4) -> Model:
     """Weights by gradient ascent on the conditional log-likelihood (AdaGrad), cluster by cluster.
 
-    The features of postcodes of four digits are trained after the others, which stay as they are.
+    The features of postcodes of four digits, and then those of numbers on neighbouring lines, are trained
+    after the others, which stay as they are.
     """
     texts, lex = sentences(count, seed)
     model = Model()
     rng = random.Random(seed)
     _ascend(model, _examples(texts, lex), passes, rng, rate, l2)
     _ascend(model, _examples(postcode_sentences(count // 2, seed), lex), passes, rng, rate, l2, ",four")
+    _ascend(model, _examples(line_sentences(count // 2, seed), lex), passes, rng, rate, l2, "own-lines")
     return model
 
 
