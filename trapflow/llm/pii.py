@@ -43,11 +43,14 @@ _ID_CUES = (
 _ID = re.compile(r"(?i)(?<![\w-])(?:" + "|".join(f"(?P<{n}>{p})" for n, p in _ID_CUES) + r")(?:\s?(?:n\s?[°º]\.?|nº|num(?:ber)?\.?|no\.?|nr\.?|#))?(?:\s+(?:is|lautet|est|es|ist))?\s{0,2}[:=#]?\s{0,3}(?=[A-Z]{0,3}\s?\d)")
 # Each cue above holds one of these.
 _ID_ROOTS = ("ssn", "social", "sozial", "curit", "seguridad", "bsn", "burgerserv", "national", "nino", "ni n", "passp", "passnu", "reise", "reisd", "travel d", "voyage", "viaje", "pasap", "paspo", "ident", "id c", "id-c", "id n", "ausweis", "dni", "cni", "personal", "personn", "persono", "pers.", "pers-", "persn")
+_SPACED_ROOTS = tuple(r for r in _ID_ROOTS if " " in r)
+_HELD_PIECES = 500_000
 _ID_VALUE = re.compile(r"(?i)(?:[a-z]{1,3}[ \n-]?)?\d+(?:[ \n./-]{1,2}\d+)*(?:[ \n-]?[a-z](?![\w]))?")
 
 _AT = r"(?:\s?[\[({<]\s?(?i:at|ät|@|arroba|arobase)\s?[\])}>]\s?|[ \n](?:AT|at)[ \n]|\s?@\s?|\s?%40\s?|&#64;)"
 _DOT = r"(?:\s?[\[({<]\s?(?i:dot|punkt|point|punto|\.)\s?[\])}>]\s?|[ \n](?:DOT|dot)[ \n]|\.)"
-_MARK = re.compile(rf"@|(?i:[\[({{<]\s?(?:at|ät|arroba|arobase)\s?[\])}}>])|[ \n](?:at|AT)[ \n]|%40|&#64;")
+_BOXED_AT = re.compile(r"(?i)[\[({<]\s?(?:at|ät|arroba|arobase)\s?[\])}>]")
+_PLAIN_AT = ("@", "%40", "&#64;", *(f"{a}{w}{b}" for w in ("at", "AT") for a in " \n" for b in " \n"))
 _AROUND = re.compile(_AT)
 _LOCAL = re.compile(r"[\w!#$%&'*+/=?^{}~-]+(?:\.[\w!#$%&'*+/=?^{}~-]+)*\Z")
 _DOMAIN = re.compile(rf"[^\W_](?:[\w-]*\w)?(?:{_DOT}[^\W_](?:[\w-]*\w)?)+")
@@ -61,17 +64,20 @@ _NEW_SENTENCE = re.compile(r"\.[A-ZÄÖÜ]|\s")
 
 _GAP = r"[ .()/\n-]{1,3}"
 _NUMBER = re.compile(rf"[+(\d](?<![\w.:@#][+(\d])(?<!\d,[+(\d])(?:(?<=\d)\d*|[+(]?\d+)(?:{_GAP}\d+)*")
+# Numbering plans, in the order in which they are tried.
 _PHONE_PLANS = (
-    ("intl", re.compile(r"\+\s?\d{1,3}[\s().-]{0,3}(?:\(0\)[\s-]?)?\d[\d\s()./-]{5,}\Z")),
-    ("00", re.compile(r"00[1-9]\d{0,2}[\s./-]+[\d(][\d\s()./-]{5,}\Z|00[1-9]\d{8,12}\Z")),
-    ("nanp(", re.compile(r"(?:1[\s.-]?)?\([2-9]\d\d\)\s?[2-9]\d\d[\s.-]?\d{4}\Z")),
-    ("nanp1", re.compile(r"1[\s.-][2-9]\d\d[\s.-][2-9]\d\d[\s.-]\d{4}\Z")),
-    ("nanp", re.compile(r"[2-9]\d\d([\s.-])[2-9]\d\d\1\d{4}\Z")),
-    ("slash", re.compile(r"\(?0\d{1,4}\)?\s?/\s?\d{3,}[\s-]?\d*\Z")),
-    ("pairs", re.compile(r"0[1-9](?:([\s.-])\d\d)(?:\1\d\d){3}\Z")),
-    ("trunk", re.compile(r"\(?0[1-9]\d{1,4}\)?[\s-]\d{3,}(?:[\s-]\d{2,})*\Z")),
-    ("plain", re.compile(r"0[1-9]\d{8,9}\Z")),
-)
+    ("intl", r"\+\s?\d{1,3}[\s().-]{0,3}(?:\(0\)[\s-]?)?\d[\d\s()./-]{5,}"),
+    ("00", r"00[1-9]\d{0,2}[\s./-]+[\d(][\d\s()./-]{5,}|00[1-9]\d{8,12}"),
+    ("nanp(", r"(?:1[\s.-]?)?\([2-9]\d\d\)\s?[2-9]\d\d[\s.-]?\d{4}"),
+    ("nanp1", r"1[\s.-][2-9]\d\d[\s.-][2-9]\d\d[\s.-]\d{4}"),
+    ("nanp", r"[2-9]\d\d(?P<a>[\s.-])[2-9]\d\d(?P=a)\d{4}"),
+    ("slash", r"\(?0\d{1,4}\)?\s?/\s?\d{3,}[\s-]?\d*"),
+    ("pairs", r"0[1-9](?:(?P<b>[\s.-])\d\d)(?:(?P=b)\d\d){3}"),
+    ("trunk", r"\(?0[1-9]\d{1,4}\)?[\s-]\d{3,}(?:[\s-]\d{2,})*"),
+    ("plain", r"0[1-9]\d{8,9}"),
+)
+_PLAN = re.compile("|".join(f"(?P<p{k}>(?:{p})\\Z)" for k, (_, p) in enumerate(_PHONE_PLANS)))
+_PLAN_NAMES = {f"p{k}": n for k, (n, _) in enumerate(_PHONE_PLANS)}
 # Some country codes; the usual number of digits differs by them.
 _COUNTRY_CODES = ("1", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49")
 # Five digits or ZIP+4; Dutch codes; the four digits of AT, BE, CH and DK.
@@ -89,7 +95,7 @@ _STREET_STOP = re.compile(r"[,:;.!?]\s")
 _OPENS, _STREET_PARTS = re.compile(r"(?<!\w)\d{1,4}(?!\d)"), re.compile(r"[^\s,]+")
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_INITIAL = re.compile(r"(?<![\w.])([^\W\d_])\.[ \n]{0,3}(?:[^\W\d_]\.[ \n]{0,3})?")
+_INITIAL = re.compile(r"\.(?<=(?<![\w.])[^\W\d_]\.)[ \n]{0,3}(?:[^\W\d_]\.[ \n]{0,3})?")
 _AFTER_GIVEN = re.compile(r" {0,2}\n? {0,2}(?:[^\W\d_]\.[ \n]{0,3}){0,2}(?:(?:van|von|der|den|de|del|della|di|da|la|le|zu|zur|ter|ten|bin|al)[ \n]){0,2}([^\W\d_]+(?:['’-][^\W\d_]+)*)(?![\w@])")
 _COMMA_GIVEN = re.compile(r",([ \n]{1,3})([^\W\d_]+(?:['’-][^\W\d_]+)*)((?:[ \n][^\W\d_]\.)?)(?![\w@])")
 _BEFORE_COMMA = re.compile(r"(?<![\w@.'’-])([^\W\d_]+(?:['’-][^\W\d_]+)*),([ \n]{1,3})\Z")
@@ -107,6 +113,27 @@ class Lexicons:
     given: frozenset[str] = frozenset()
     surnames: frozenset[str] = frozenset()
     common: frozenset[str] = frozenset()
+    #: What is known of pieces of text between blanks, up to a bound: those that hold nothing, and of the others
+    #: (names in it, whether it holds a root).
+    dull: set[str] = field(default_factory=set, compare=False, repr=False)
+    pieces: dict[str, tuple[tuple[str, ...], bool]] = field(default_factory=dict, compare=False, repr=False)
+
+    def known(self, low: str) -> tuple[set[str], bool]:
+        """Names that ``low`` holds as words, and whether it may hold what a text calls an identity number."""
+        names, cue = set(), any(root in low for root in _SPACED_ROOTS)
+        if len(self.dull) + len(self.pieces) > _HELD_PIECES:
+            self.dull.clear(), self.pieces.clear()
+        for piece in set(low.split()) - self.dull:
+            got = self.pieces.get(piece)
+            if got is None:
+                got = (tuple(w for w in _TOKEN.findall(piece) if w in self.given or w in self.surnames), any(r in piece for r in _ID_ROOTS))
+                if got[0] or got[1]:
+                    self.pieces[piece] = got
+                else:
+                    self.dull.add(piece)
+            names.update(got[0])
+            cue = cue or got[1]
+        return names, cue
 
 
 class Span(NamedTuple):
@@ -147,9 +174,20 @@ def _local_start(text: str, end: int) -> int:
     return at
 
 
+def _marks(text: str) -> Iterable[int]:
+    """Where something stands that may be the sign of an e-mail address, in order and without overlaps."""
+    found = [(at, at + len(word)) for word in _PLAIN_AT for at in _positions(text, word)]
+    found += [m.span() for m in _BOXED_AT.finditer(text)]
+    done = 0
+    for start, end in sorted(found):
+        if start >= done:
+            done = end
+            yield start
+
+
 def _emails(text: str) -> Iterable[Span]:
-    for at in _MARK.finditer(text):
-        m = _AROUND.match(text, at.start() - (1 if at.start() and text[at.start() - 1] in " \n" and at[0][0] not in " \n" else 0))
+    for at in _marks(text):
+        m = _AROUND.match(text, at - (1 if at and text[at - 1] in " \n" and text[at] not in " \n" else 0))
         first = _local_start(text, m.start()) if m else -1
         d = first >= 0 and _DOMAIN.match(text, m.end(), m.end() + _DOMAIN_LENGTH)
         local = d and _LOCAL.search(text, first, m.start())
@@ -205,7 +243,7 @@ def _phones(text: str) -> Iterable[Span]:
                     break
                 end = groups[j][1]
                 body = _SPACES.sub(" ", text[start:end])
-                plan = next((n for n, p in _PHONE_PLANS if p.match(body)), "none")
+                plan = _PLAN_NAMES[known.lastgroup] if (known := _PLAN.match(body)) else "none"
                 whole = i == 0 and j == last
                 if plan == "none" and not whole:
                     continue
@@ -273,8 +311,27 @@ def _identities(text: str, low: str) -> Iterable[Span]:
             yield Span(v.start(), end, "id_number", key, f)
 
 
+def _postcodes(text: str) -> Iterable[re.Match]:
+    """Matches of the pattern, tried only where a run of digits is as long as a code needs."""
+    done = 0
+    for g in _DIGITS.finditer(text):
+        start, end = g.span()
+        n = end - start
+        if start < done or n > 5 or n == 3:
+            continue
+        if n < 3:  # digits after one or two letters
+            if not start or not text[start - 1].isalpha():
+                continue
+            start -= 2 if start > 1 and text[start - 2].isalpha() else 1
+            if start < done:
+                continue
+        if m := _POSTCODE.match(text, start):
+            done = m.end()
+            yield m
+
+
 def _addresses(text: str) -> Iterable[Span]:
-    for p in _POSTCODE.finditer(text):
+    for p in _postcodes(text):
         kind = p.lastgroup
         low = max(0, p.start() - _ADDRESS_BACK)
         before = text[low : p.start()]
@@ -343,10 +400,9 @@ def _whole_words(text: str, low: str, words: Iterable[str]) -> list[tuple[int, i
     return sorted(out)
 
 
-def _names(text: str, low: str, lex: Lexicons) -> Iterable[Span]:
-    """Spans around words that the lexicons know, and around initials."""
+def _names(text: str, low: str, lex: Lexicons, seen: set[str]) -> Iterable[Span]:
+    """Spans around words that the lexicons know (those of ``seen``), and around initials."""
     given, surnames = lex.given, lex.surnames
-    seen = set(_TOKEN.findall(low))
     for start, end in _whole_words(text, low, seen & given):
         word = text[start:end]
         case = _case(word) == "l"
@@ -363,15 +419,16 @@ def _names(text: str, low: str, lex: Lexicons) -> Iterable[Span]:
         if (m := _COMMA_GIVEN.match(text, end, end + 40)) and m[2].lower() not in given and (_case(m[2]) == "l") == case:
             yield _named("SG", m[2], word, m[1], start, m.end(), text, lex)
     for m in _INITIAL.finditer(text):
-        t = _TOKEN.match(text, m.end())
-        if t and len(t[0]) > 2 and m[1].isupper() == t[0][:1].isupper() and (m[1].isupper() or t[0].lower() in surnames):
-            yield _named("IS", m[1], t[0], m[0], m.start(), t.end(), text, lex)
+        t, initial = _TOKEN.match(text, m.end()), text[m.start() - 1]
+        if t and len(t[0]) > 2 and initial.isupper() == t[0][:1].isupper() and (initial.isupper() or t[0].lower() in surnames):
+            yield _named("IS", initial, t[0], m[0], m.start() - 1, t.end(), text, lex)
 
 
 def spans(text: str, lex: Lexicons) -> list[Span]:
     """All candidate spans of ``text``, by start and end."""
     low = _lower(text)
-    return sorted([*_emails(text), *_phones(text), *_identities(text, low), *_addresses(text), *_names(text, low, lex)], key=lambda s: (s.start, s.end))
+    names, cue = lex.known(low)
+    return sorted([*_emails(text), *_phones(text), *(_identities(text, low) if cue else ()), *_addresses(text), *_names(text, low, lex, names)], key=lambda s: (s.start, s.end))
 
 
 @dataclass

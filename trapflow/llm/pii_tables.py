@@ -53,6 +53,33 @@ def people(raw: str) -> list[tuple[str, str]]:
     return out
 
 
+class _Lower:
+    """The lower-case words of a text; what a piece between blanks holds is remembered, up to a bound."""
+
+    def __init__(self) -> None:
+        self.words: set[str] = set()  # pieces that are one such word
+        self.dull: set[str] = set()  # pieces without any
+        self.mixed: dict[str, list[str]] = {}
+
+    def __call__(self, text: str) -> set[str]:
+        if len(self.words) + len(self.dull) + len(self.mixed) > HELD_COUNTS:
+            self.__init__()
+        pieces = set(text.split())
+        out = pieces & self.words
+        for piece in pieces - out - self.dull:
+            got = self.mixed.get(piece)
+            if got is None:
+                got = _LOWER.findall(piece)
+                if got == [piece]:
+                    self.words.add(piece)
+                elif got:
+                    self.mixed[piece] = got
+                else:
+                    self.dull.add(piece)
+            out.update(got)
+        return out
+
+
 def fit_lexicons(docs: DataFrame, doc_id: str, text: str, support: int = 2) -> Lexicons:
     """Given names, surnames and lower-case words of all mails.
 
@@ -65,9 +92,13 @@ def fit_lexicons(docs: DataFrame, doc_id: str, text: str, support: int = 2) -> L
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: Counter[tuple[str, str]] = Counter()
+        common: Counter[str] = Counter()
+        lower = _Lower()
 
         def counts() -> pd.DataFrame:
-            return pd.DataFrame([(k, w, n) for (k, w), n in got.items()], columns=["kind", "word", "n"])
+            rows = [*((k, w, n) for (k, w), n in got.items()), *(("common", w, n) for w, n in common.items())]
+            got.clear(), common.clear()
+            return pd.DataFrame(rows, columns=["kind", "word", "n"])
 
         for pdf in batches:
             for t in pdf["text"]:
@@ -76,10 +107,9 @@ def fit_lexicons(docs: DataFrame, doc_id: str, text: str, support: int = 2) -> L
                         got["given", given] += 2 if surname else 1
                     if surname:
                         got.update({("surname", x): 1 for x in {surname, *surname.split("-")} if len(x) > 1})
-                got.update(("common", w) for w in set(_LOWER.findall(mail_text(t))))
-                if len(got) >= HELD_COUNTS:
+                common.update(lower(mail_text(t)))
+                if len(got) + len(common) >= HELD_COUNTS:
                     yield counts()
-                    got.clear()
         yield counts()
 
     counted = rows.mapInPandas(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
