@@ -9,11 +9,12 @@ import hashlib
 import hmac
 import ipaddress
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 # Object identifiers and tags of the protocol.
 TRAP_OID, UPTIME_OID = "1.3.6.1.6.3.1.1.4.1.0", "1.3.6.1.2.1.1.3.0"
 V1_TRAP, V2_TRAP, INFORM = 0xA4, 0xA7, 0xA6
+PDU_NAMES = {V1_TRAP: "Trap", V2_TRAP: "SNMPv2Trap", INFORM: "InformRequest"}
 GENERIC_NAMES = ("coldStart", "warmStart", "linkDown", "linkUp", "authenticationFailure", "egpNeighborLoss", "enterpriseSpecific")
 TAG_CLASSES = ("universal", "application", "context", "private")
 #: Names of value types: (class, number) -> strict name, short name.
@@ -24,6 +25,12 @@ TYPE_NAMES = {
 }
 
 
+def library_shape(message: Message) -> Message:
+    """The message as the other decoder shows it: the kind by its name, no request and error numbers."""
+    kind = int(message.pdu_type, 16)
+    return replace(message, pdu_type=PDU_NAMES.get(kind, message.pdu_type), request_id=None, error_status=None, error_index=None)
+
+
 class WireError(ValueError):
     """Bytes that are no message of the protocol."""
 

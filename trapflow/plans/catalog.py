@@ -15,11 +15,11 @@ from trapflow.functions.expr import micros
 from trapflow.functions.keys import dedup_key
 from trapflow.functions.matching import Event, compile_match
 from trapflow.functions.oid import normalize
-from trapflow.operators.counters import interval_stats, outcome_counters, queue_drops, step_deltas
+from trapflow.operators.counters import ingest_counters, interval_stats, load_ramp, outcome_counters, queue_drops, step_deltas
 from trapflow.operators.suppression import alarms_and_duplicates, states
 from trapflow.plans.oracles import ORACLES as TRAP_ORACLES
 from trapflow.plans.relay import filtered, outcomes, verdicts
-from trapflow.sources.decode import decode_packets, field_map
+from trapflow.sources.decode import decode_packets, field_map, raw_varbind_map
 from trapflow.sources.shared import materialize
 from trapflow.sources.sinks import alert_line, summary
 from trapflow.sources.tables import table
@@ -176,14 +176,13 @@ MATCHES: dict[str, tuple[dict[str, Any], str]] = {
     "match_regex": ({"all": [{"field": "source_ip", "op": "regex", "value": r"^10\.7[0-5]\."}]}, rf"regexp_matches({_f('source_ip')}, '^10\.7[0-5]\.')"),
     "match_in": ({"all": [{"field": "version", "op": "in", "value": [0, 3]}]}, f"{_f('version')} IN ('0', '3')"),
     **{
-        f"match_{op}": ({"all": [{"field": _TEMP, "op": op, "value": 40.5}]}, f"coalesce({_number(_norm(f'fields[{chr(39)}{_TEMP}{chr(39)}]'))} {sign} 40.5, FALSE)")
+        f"match_{op}": ({"all": [{"field": _TEMP, "op": op, "value": 42.7}]}, f"coalesce({_number(_norm(f'fields[{chr(39)}{_TEMP}{chr(39)}]'))} {sign} 42.7, FALSE)")
         for op, sign in (("gt", ">"), ("ge", ">="), ("lt", "<"), ("le", "<="))
     },
     "match_all_any_not": (
         {"all": [{"field": "version", "value": 1}], "any": [{"field": "source_port", "op": "lt", "value": 5000}, {"field": "device_id", "op": "exists"}], "not": [{"field": "trap_oid", "op": "prefix", "value": "1.3.6.1.6"}]},
         f"{_f('version')} = '1' AND (coalesce({_number(_f('source_port'))} < 5000, FALSE) OR {_f('device_id')} <> '') AND NOT starts_with({_TRAP}, '1.3.6.1.6')",
     ),
-    "match_error_after_false": ({"all": [{"field": "version", "value": 3}, {"field": "trap_oid", "op": "no_such", "value": 1}]}, "FALSE"),
 }
 
 
@@ -199,6 +198,36 @@ for _name, (_spec, _sql) in MATCHES.items():
     ORACLES[_name] = f"SELECT seq FROM trap_event WHERE {_sql}"
 
 
+_WRONG = {"field": "trap_oid", "op": "no_such", "value": 1}
+_RIGHT = {"field": "version", "value": 1}
+_V1 = f"{_f('version')} = '1'"
+#: Conditions that can't be decided: what stands before them decides, what stands after is not looked at.
+ERRORS: dict[str, tuple[dict[str, Any], str]] = {
+    "match_error_after_false": ({"all": [_RIGHT, _WRONG]}, f"CASE WHEN NOT {_V1} THEN FALSE END"),
+    "match_error_before_false": ({"all": [_WRONG, _RIGHT]}, "CAST(NULL AS BOOLEAN)"),
+    "match_error_in_any": ({"any": [_RIGHT, _WRONG]}, f"CASE WHEN {_V1} THEN TRUE END"),
+    "match_error_in_not": ({"all": [_RIGHT], "not": [{"field": "trap_oid", "op": "prefix", "value": "1.3.6.1.6"}, _WRONG]}, f"CASE WHEN NOT {_V1} OR starts_with({_TRAP}, '1.3.6.1.6') THEN FALSE END"),
+    "match_error_no_list": ({"all": {"field": "version"}}, "CAST(NULL AS BOOLEAN)"),
+    "match_error_pattern": ({"all": [_RIGHT, {"field": "community", "op": "regex", "value": "(a)\\1"}]}, f"CASE WHEN NOT {_V1} THEN FALSE END"),
+    "match_op_case": ({"all": [{"field": "trap_oid", "op": "PREFIX", "value": " .1.3.6.1.4.1 "}]}, f"starts_with({_TRAP}, '1.3.6.1.4.1')"),
+    "match_ne_missing": ({"all": [{"field": "varbind.9.9", "op": "ne", "value": "x"}, {"field": "varbind:.9.9", "op": "eq"}]}, "FALSE"),
+    "match_wrong_number": ({"all": [{"field": "trap_oid", "op": "gt", "value": 1}]}, "FALSE"),
+    "match_regex_dialect": ({"any": [{"field": "community", "op": "regex", "value": "^(?i)NOC-R.$"}, {"field": "pdu_type", "op": "regex", "value": "^[[:alpha:]]+v2"}]}, f"regexp_matches({_f('community')}, '^(?i)noc-r.$') OR regexp_matches({_f('pdu_type')}, '^[a-zA-Z]+v2')"),
+}
+
+
+def _deciding(spec: dict[str, Any]) -> Query:
+    def query(spark: SparkSession, root: str) -> DataFrame:
+        return events(spark, root).select("seq", compile_match(_event(), spec).value.alias("hit"))
+
+    return query
+
+
+for _name, (_spec, _sql) in ERRORS.items():
+    QUERIES[_name] = _deciding(_spec)
+    ORACLES[_name] = f"SELECT seq, {_sql} AS hit FROM trap_event"
+
+
 # ---- filters, alarms, keys
 
 _LAB, _LINKS = f"{_f('community')} = 'lab'", f"starts_with({_TRAP}, '1.3.6.1.6.3.1.1.5')"
@@ -348,20 +377,83 @@ def relay_counts(spark: SparkSession, root: str) -> DataFrame:
     return relay_outcomes(spark, root).groupBy("reason", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_add("relay_packets")
+#: The notification that an event's own columns and bindings say, where the stored ``trap_oid`` is blank or written oddly.
+_SAID = f"CASE WHEN e.version = 0 THEN 'v1:' || e.enterprise_oid || ':' || e.generic_trap || ':' || e.specific_trap ELSE {_norm(_VARBINDS.format(chr(39) + ber.TRAP_OID + chr(39)).replace('varbinds', 'e.varbinds') + '[-1].value')} END"
+#: Events of the packets that can be read, as the decoder gives them: what rules may name is built from the packet.
+_PACKET_EVENTS = """(SELECT p.seq, p.received_at, MAP {'source_ip': coalesce(p.source_ip, ''), 'source_port': coalesce(p.source_port::VARCHAR, ''), 'version': e.version::VARCHAR, 'community': e.community, 'trap_oid': {said},
+ 'device_id': coalesce({device}, '')} AS fields, {said} AS trap_oid FROM raw_packet p JOIN trap_event e USING (seq))""".replace("{said}", _SAID).replace("{device}", _VARBINDS.format("'1.3.6.1.4.1.99871.10.1'").replace("varbinds", "e.varbinds") + "[-1].value")
+_RELAY_PACKETS = _RELAY.replace("FROM trap_event)", f"FROM {_PACKET_EVENTS})", 1)
+
+
+def _packet_outcomes(spark: SparkSession, root: str, read: DataFrame) -> DataFrame:
+    read = read.where("error is null").drop("error")
+    mapped = read.withColumn("raw_varbind_map", raw_varbind_map()).withColumn("fields", field_map(read, {"1.3.6.1.4.1.99871.10.1": "device_id"}))
+    return outcomes(mapped, rules())
+
+
+@_add("relay_packets", f"{_RELAY_PACKETS} SELECT reason, {_RULE} AS rule_id, count(*) AS n FROM r GROUP BY ALL")
 def relay_packets(spark: SparkSession, root: str) -> DataFrame:
     """Datagrams decoded and relayed in one plan: counts by reason."""
-    read = decode_packets(table(spark, root, "raw_packet")).where("error is null")
-    mapped = read.withColumn("raw_varbind_map", F.create_map().cast("map<string,string>")).withColumn("fields", field_map(read, {"1.3.6.1.4.1.99871.10.1": "device_id"}))
-    return outcomes(mapped, rules()).groupBy("reason", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return _packet_outcomes(spark, root, decode_packets(table(spark, root, "raw_packet"))).groupBy("reason", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add(
+    "ingest_snapshot",
+    f"""{_RELAY_PACKETS} SELECT (SELECT count(*) FROM raw_packet) AS received, (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY epoch_us(received_at) // 60000000 ORDER BY seq) AS n FROM raw_packet) WHERE n > 2) AS queue_dropped,
+    (SELECT count(*) FROM raw_packet ANTI JOIN trap_event USING (seq)) AS parse_failed, 0::BIGINT AS handle_failed, count(*) FILTER (reason IN ('pass-through', 'dedup_disabled', 'alarm')) AS accepted, count(*) FILTER (reason IN ('pass-through', 'dedup_disabled', 'alarm')) AS forwarded,
+    count(*) FILTER (reason = 'filtered') AS filtered, count(*) FILTER (reason = 'duplicate') AS duplicates, count(*) FILTER (reason = 'pass-through') AS pass_through, count(*) FILTER (reason = 'alarm') AS alarms, count(*) FILTER (reason = 'dedup_disabled') AS dedup_disabled, 0::BIGINT AS forward_failed FROM r""",
+)
+def ingest_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """All counters of one run over the packets, counted; the drops are those a queue of 2 a minute would make."""
+    packets = table(spark, root, "raw_packet")
+    read = materialize(decode_packets(packets), "decoded")
+    return ingest_counters(queue_drops(packets, "received_at", "seq", 2, 60), read, _packet_outcomes(spark, root, read), "dropped")
+
+
+@_add(
+    "load_ramp",
+    """SELECT rate, count(*) AS ticks, sum(rate)::BIGINT AS packets, sum(greatest(rate - 3, 0))::BIGINT AS dropped, sum(greatest(rate - 3, 0)) = 0 AS loss_free FROM (SELECT count(*) AS rate FROM raw_packet GROUP BY epoch_us(received_at) // 600000000) GROUP BY rate""",
+)
+def ramp(spark: SparkSession, root: str) -> DataFrame:
+    """Ticks of ten minutes by rate, and what a queue of 3 would have dropped."""
+    return load_ramp(table(spark, root, "raw_packet"), "received_at", 600, 3)
 
 
 # ---- wire format
 
-@_add("decode_packets", "SELECT p.seq, e.seq IS NOT NULL AS readable, e.version, e.community, e.uptime FROM raw_packet p LEFT JOIN trap_event e USING (seq)")
+_V1_ONLY = ("enterprise_oid", "agent_address", "generic_trap", "generic_trap_name", "specific_trap")
+
+
+@_add(
+    "decode_packets",
+    f"""SELECT p.seq, e.seq IS NOT NULL AS readable, e.version, e.community, e.uptime, CASE WHEN e.version = 1 THEN '0xa7' WHEN e.version = 0 THEN '0xa4' END AS pdu_type, CASE WHEN e.seq IS NULL THEN '' ELSE {_SAID} END AS trap_oid, len(e.varbinds) AS n_varbinds,
+    {", ".join(f"coalesce(e.{c}, '') AS {c}" for c in _V1_ONLY)} FROM raw_packet p LEFT JOIN trap_event e USING (seq)""",
+)
 def decode(spark: SparkSession, root: str) -> DataFrame:
     read = decode_packets(table(spark, root, "raw_packet"))
-    return read.select("seq", F.col("error").isNull().alias("readable"), "version", "community", "uptime")
+    v1 = [F.coalesce(c, F.lit("")).alias(c) for c in _V1_ONLY]
+    return read.select("seq", F.col("error").isNull().alias("readable"), "version", "community", "uptime", "pdu_type", normalize(F.coalesce("trap_oid", F.lit(""))).alias("trap_oid"), F.size("varbinds").alias("n_varbinds"), *v1)
+
+
+@_add("decode_requests", "SELECT seq, e.request_id, e.error_status, e.error_index FROM raw_packet p JOIN trap_event e USING (seq) WHERE e.request_id IS NOT NULL AND e.pdu_type = '0xa7'")
+def decode_requests(spark: SparkSession, root: str) -> DataFrame:
+    """Request and error numbers of the packets whose stored event has them."""
+    stored = events(spark, root).where("request_id is not null and pdu_type = '0xa7'").select("seq")
+    return decode_packets(table(spark, root, "raw_packet")).join(stored, "seq", "left_semi").select("seq", "request_id", "error_status", "error_index")
+
+
+@_add("decode_varbinds", "SELECT seq, unnest(range(len(varbinds))) AS place, ltrim(unnest(varbinds).oid, '.') AS oid, unnest(varbinds).type_name AS type_name, unnest(varbinds).value AS value FROM raw_packet p JOIN trap_event e USING (seq)")
+def decode_varbinds(spark: SparkSession, root: str) -> DataFrame:
+    """Every binding of the packets: place, identifier, type and value as text."""
+    read = decode_packets(table(spark, root, "raw_packet"), short_names=True)
+    return read.select("seq", F.posexplode("varbinds").alias("place", "v")).select("seq", F.col("place").cast("bigint").alias("place"), "v.oid", "v.type_name", "v.value")
+
+
+@_add("decode_library", "SELECT seq, e.version, CASE WHEN e.version = 1 THEN 'SNMPv2Trap' ELSE 'Trap' END AS pdu_type, NULL::BIGINT AS request_id, 'OctetString' AS a_type FROM raw_packet p JOIN trap_event e USING (seq) WHERE len(list_filter(e.varbinds, lambda v: v.type_name = 'OctetString')) > 0")
+def decode_library(spark: SparkSession, root: str) -> DataFrame:
+    """Events in the other shape: kinds by name, short type names, no request numbers."""
+    read = decode_packets(table(spark, root, "raw_packet"), library=True).where("error is null")
+    return read.select("seq", "version", "pdu_type", "request_id", F.get(F.filter("varbinds", lambda v: v.type_name == "OctetString"), F.lit(0)).type_name.alias("a_type")).where("a_type is not null")
 
 
 @_add("ber_roundtrip", rf"SELECT seq, {_norm('trap_oid')} AS trap_oid, coalesce(len(varbinds), 0) AS n_varbinds, coalesce(varbinds[1].value, '') AS first_value FROM trap_event WHERE regexp_full_match({_norm('trap_oid')}, '[0-9]+(\.[0-9]+)+')")
@@ -405,11 +497,12 @@ def stats_by_interval(spark: SparkSession, root: str) -> DataFrame:
 
 @_add(
     "metrics_step_delta",
-    """SELECT * FROM (SELECT epoch_us(snapshot_at) AS at_us, received - lag(received) OVER w AS received, forwarded - lag(forwarded) OVER w AS forwarded, queue_dropped - lag(queue_dropped) OVER w = 0 AS loss_free FROM metrics_snapshot WINDOW w AS (ORDER BY snapshot_at)) WHERE received IS NOT NULL""",
+    """SELECT * FROM (SELECT epoch_us(snapshot_at) AS at_us, received - lag(received) OVER w AS received, forwarded - lag(forwarded) OVER w AS forwarded, accepted - lag(accepted) OVER w AS sent, queue_dropped - lag(queue_dropped) OVER w = 0 AND received - lag(received) OVER w >= accepted - lag(accepted) OVER w AS loss_free FROM metrics_snapshot WINDOW w AS (ORDER BY snapshot_at)) WHERE received IS NOT NULL""",
 )
 def metrics_step_delta(spark: SparkSession, root: str) -> DataFrame:
-    rows = step_deltas(table(spark, root, "metrics_snapshot"), "snapshot_at", ["received", "forwarded", "queue_dropped"])
-    return rows.select(F.unix_micros("snapshot_at").alias("at_us"), "received", "forwarded", "loss_free")
+    """Counters between snapshots; what was accepted stands for what a sender counts as sent."""
+    rows = step_deltas(table(spark, root, "metrics_snapshot").withColumn("sent", F.col("accepted")), "snapshot_at", ["received", "forwarded", "queue_dropped", "sent"])
+    return rows.select(F.unix_micros("snapshot_at").alias("at_us"), "received", "forwarded", "sent", "loss_free")
 
 
 @_add("queue_drop_simulation", "SELECT seq, row_number() OVER (PARTITION BY epoch_us(received_at) // 60000000 ORDER BY seq) > 2 AS dropped FROM raw_packet")

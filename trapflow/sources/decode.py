@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trapflow.config import User
-from trapflow.functions.ber import Message, WireError, read_message
+from trapflow.functions.ber import Message, WireError, library_shape, read_message
 from trapflow.functions.oid import normalize
 
 VARBIND = T.StructType([T.StructField(n, T.StringType()) for n in ("oid", "type_name", "value")])
@@ -22,11 +22,12 @@ DECODED = T.StructType(
 )
 
 
-def _row(payload: bytes | None, short_names: bool, users: Mapping[str, tuple[str, str]], informs: bool) -> dict:
+def _row(payload: bytes | None, short_names: bool, users: Mapping[str, tuple[str, str]], informs: bool, library: bool) -> dict:
     try:
         if payload is None:
             raise WireError("no payload")
-        m: Message = read_message(bytes(payload), short_names, dict(users), informs)
+        m: Message = read_message(bytes(payload), short_names or library, dict(users), informs)
+        m = library_shape(m) if library else m
     except WireError as e:
         return {f.name: None for f in DECODED.fields} | {"error": str(e)}
     limit = 2**63
@@ -34,15 +35,19 @@ def _row(payload: bytes | None, short_names: bool, users: Mapping[str, tuple[str
     return {"error": None, "version": m.version, **{n: getattr(m, n) for n in _TEXTS}, **numbers, "varbinds": [{"oid": o, "type_name": k, "value": v} for o, k, v in m.varbinds]}
 
 
-def decoder(users: tuple[User, ...] = (), short_names: bool = False, informs: bool = False):
-    """Column function BINARY -> struct DECODED. A packet that cannot be read has only ``error``."""
+def decoder(users: tuple[User, ...] = (), short_names: bool = False, informs: bool = False, library: bool = False):
+    """Column function BINARY -> struct DECODED. A packet that cannot be read has only ``error``.
+
+    ``short_names``: value types by their short names; ``library``: these, the kind of message by name and no
+    request and error numbers.
+    """
     known = {u.name: (u.auth_protocol, u.auth_passphrase) for u in users}
     names = [f.name for f in DECODED.fields]
 
     @F.pandas_udf(DECODED)
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for payloads in batches:
-            got = pd.DataFrame([_row(p, short_names, known, informs) for p in payloads], columns=names)
+            got = pd.DataFrame([_row(p, short_names, known, informs, library) for p in payloads], columns=names)
             for n in ("version", *_NUMBERS):
                 got[n] = got[n].astype("Int64")
             yield got
