@@ -69,3 +69,9 @@ def swap_json(spark: SparkSession, folder: str, version: int, value: dict) -> bo
         fs.delete(aside, False)
         return False
     return True
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all it holds; nothing happens if there is none."""
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)

@@ -50,7 +50,7 @@ def write_alerts(lines: DataFrame, path: str) -> None:
 
 
 # What the audit log calls each outcome.
-EVENT_NAMES = {"filtered": "trap_filtered", "alarm": "trap_forwarded", "duplicate": "trap_deduplicated", "dedup_disabled": "trap_forwarded_dedup_disabled", "pass-through": "trap_passed", "failed": "trap_handle_failed", "forward_failed": "trap_forward_failed"}
+EVENT_NAMES = {"filtered": "trap_filtered", "alarm": "trap_forwarded", "duplicate": "trap_deduplicated", "dedup_disabled": "trap_forwarded_dedup_disabled", "pass-through": "trap_passed", "failed": "trap_handle_failed", "forward_failed": "trap_forward_failed", "parse_failed": "trap_parse_failed"}
 
 
 def audit_log(outcomes: DataFrame, rules: Rules) -> DataFrame:
