@@ -23,7 +23,8 @@ from trapflow.operators.windows_from_first import assign_windows
 from trapflow.sources.shared import materialize
 
 KEYS = ["rule_id", "key_hash"]
-#: Operations of one key that are sorted in one task. A larger key's sequence is cut into chunks.
+#: With no more operations than this in all, no key can have more, and each is sorted in one task. Otherwise
+#: the sequences of all keys are cut into chunks of arrivals.
 KEY_ROWS = 1_000_000
 #: Arrivals in one such chunk.
 CHUNK = 1_000_000
@@ -35,11 +36,6 @@ def operations(alarms: DataFrame, clears: DataFrame) -> DataFrame:
     return ops.where("rule_id is not null and key_hash is not null and seq is not null and (rank = 0 or us is not null)")
 
 
-def _largest(ops: DataFrame) -> int:
-    row = ops.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    return row["n"] or 0
-
-
 def _sequence(ops: DataFrame, chunked: bool) -> DataFrame:
     """Alarms with ``epoch`` (clears before), ``latest`` (largest time before in the epoch) and ``stretch``
     (number of the run of maxima that are less than a ttl apart)."""
@@ -75,8 +71,9 @@ def alarms_and_duplicates(alarms: DataFrame, clears: DataFrame) -> DataFrame:
     of one seq and key are ordered by us. An empty table gives an empty result.
     """
     ops = operations(alarms, clears).withColumn("ttl_us", F.col("ttl_seconds").cast("bigint") * 1_000_000)
-    chunked = _largest(ops) > KEY_ROWS
-    rows = _spans(_sequence(ops, chunked), chunked)
+    chunked = ops.count() > KEY_ROWS
+    # Written once: the few chains that need more steps are split off below.
+    rows = materialize(_spans(_sequence(ops, chunked), chunked), "spans")
     first = F.col("latest").isNull()
     rises = first | (F.col("us") > F.col("latest"))
     chained = ~F.col("hold") & (F.col("ttl_seconds") >= 1) & (F.col("until_us") - F.col("from_us") >= F.col("ttl_us"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A chunk in widths: longer chunks, fewer steps from chunk to chunk.
 CHUNK_WIDTHS = 4
 #: Rows of a key that are folded as one array; each step copies the array of the steps before.
-SMALL = 2000
+SMALL = 256
 
 
 def exit_table(us: np.ndarray, chunk_start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +49,12 @@ def assign_windows(rows: DataFrame, keys: list[str], us: str, width: Column | in
     """Add ``anchor``, the start of the row's window. No key may be null; ``width`` (in microseconds)
     and ``size`` (the key's number of rows, or more) must be the same for all rows of a key.
 
-    A key of at most SMALL rows is one array, folded in the JVM; larger keys go chunk by chunk.
+    A key of at most SMALL rows is one array, folded in the JVM; larger keys go chunk by chunk, if there are
+    any. ``rows`` is read more than once: give what is cheap to read.
     """
     few = size <= SMALL
-    return _folded(rows.where(few), keys, us, width).unionByName(_chunked(rows.where(~few), keys, us, width))
+    folded, many = _folded(rows.where(few), keys, us, width), rows.where(~few)
+    return folded if many.isEmpty() else folded.unionByName(_chunked(many, keys, us, width))
 
 
 def _folded(rows: DataFrame, keys: list[str], us: str, width: Column | int) -> DataFrame:
