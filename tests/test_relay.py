@@ -197,5 +197,20 @@ def test_udp_source(spark):
             break
         __import__("time").sleep(0.02)
     assert [(r[0], r[4]) for r in got] == [(5, b"p0"), (6, b"p1")]
+    for n in range(5):  # the buffer holds two
+        sender.sendto(b"q%d" % n, reader.socket.getsockname())
+    for _ in range(200):
+        if reader.dropped == 3:
+            break
+        __import__("time").sleep(0.02)
+    rows, at = reader.read(at)
+    assert len(list(rows)) == 2
+    sender.sendto(b"last", reader.socket.getsockname())
+    for _ in range(200):
+        rows, at = reader.read(at)
+        if last := list(rows):
+            break
+        __import__("time").sleep(0.02)
+    assert sum(r[5] for r in got) == 0 and reader.told == 3 and last[0][4] == b"last"
     reader.socket.close()
     sender.close()

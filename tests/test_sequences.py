@@ -128,3 +128,14 @@ def test_hot_keys_are_joined_on_the_map_side(spark, monkeypatch):
     got = {r.i: r.v for r in hot_split_join(big, small, ["k"], "n", ["v"], "i").collect()}
     assert got == {**{i: "H" for i in range(1, 200, 2)}, 2: "C"}
     assert hot_split_join(big, small, ["k"], "n", ["v"], "i", inner=False).count() == 201
+
+
+def test_intermediate_folders_are_released(spark):
+    from trapflow.sources.shared import fresh_folder, materialize, newest_json, release, swap_json
+
+    folder = fresh_folder(spark, "t")
+    df = materialize(spark.range(5), "t")
+    assert swap_json(spark, folder, 1, {"a": 1}) and not swap_json(spark, folder, 1, {"a": 2}) and newest_json(spark, folder) == (1, {"a": 1})
+    assert df.count() == 5
+    release(spark)
+    assert newest_json(spark, folder) == (0, None)

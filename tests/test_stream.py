@@ -123,10 +123,10 @@ def test_a_running_relay_reloads_and_counts(spark, tmp_path):
     receiver.settimeout(10)
     (tmp_path / "rules.yaml").write_text(RULES_1 % receiver.getsockname()[1])
     down, up = (ber.v2_trap(f"1.3.6.1.6.3.1.1.5.{k}", []) for k in (3, 4))
-    schema = "seq long, received_at timestamp, source_ip string, source_port int, payload binary"
+    schema = "seq long, received_at timestamp, source_ip string, source_port int, payload binary, dropped long"
 
     def land(k, payloads):
-        rows = [(k * 10 + i, dt.datetime(2024, 1, 1, 0, k, i), "10.0.0.1", 162, bytearray(p)) for i, p in enumerate(payloads)]
+        rows = [(k * 10 + i, dt.datetime(2024, 1, 1, 0, k, i), "10.0.0.1", 162, bytearray(p), 4 if i == 1 else 0) for i, p in enumerate(payloads)]
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
 
     land(0, [down, down, b"junk"])
@@ -141,7 +141,7 @@ def test_a_running_relay_reloads_and_counts(spark, tmp_path):
     land(1, [down, up, down])  # the window that is open keeps its 600 seconds until it is cleared
     assert runner.reload().awaitTermination(120)
     got = totals(spark, f"{tmp_path}/out")
-    assert {k: v for k, v in got.items() if v} == {"received": 6, "parse_failed": 1, "accepted": 3, "forwarded": 3, "duplicates": 2, "pass_through": 1, "alarms": 2}
+    assert {k: v for k, v in got.items() if v} == {"received": 14, "queue_dropped": 8, "parse_failed": 1, "accepted": 3, "forwarded": 3, "duplicates": 2, "pass_through": 1, "alarms": 2}
     log = {(r.seq, r.event) for r in spark.read.parquet(f"{tmp_path}/out/audit").collect()}
     assert log == {(0, "trap_forwarded"), (1, "trap_deduplicated"), (2, "trap_parse_failed"), (10, "trap_deduplicated"), (11, "trap_cleared"), (11, "trap_passed"), (12, "trap_forwarded")}
     lines = {r.value for r in spark.read.text(f"{tmp_path}/out/alerts").collect()}

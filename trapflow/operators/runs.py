@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from trapflow.functions.expr import micros
 
 
-def runs(df: DataFrame, entity: str, value: str, time: str, order: str, max_step_s: float | None = None, chunk_s: int = 3600) -> DataFrame:
+def runs(df: DataFrame, entity: str, value: str, time: str, order: str, max_step_s: float | None = None, chunk_s: int = 60) -> DataFrame:
     """Collapse each maximal run of equal ``value`` to one row with its count and duration.
 
     The sequence of an entity is its rows by ``time``, ties by ``order``. A run ends where the value
     changes or, with ``max_step_s``, where the step to the next row is longer. Within a time chunk,
     the row number in the entity less the row number in entity and value is constant over a run; the
-    first and last run of a chunk are then joined to their neighbours, so no task holds more than a
-    chunk of an entity. Rows with null entity, value or time are left out of the sequence; repeated
+    first and last run of a chunk are then joined to their neighbours: a task sorts the rows of one chunk,
+    and of an entity at most two runs for each chunk, however many rows it has. Rows with null entity, value or time are left out of the sequence; repeated
     rows count; other columns are ignored; an empty table gives an empty result.
     """
     step_us = None if max_step_s is None else int(max_step_s * 1_000_000)

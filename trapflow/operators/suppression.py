@@ -103,6 +103,27 @@ def states(marked: DataFrame) -> DataFrame:
     )
 
 
+def swept(states: DataFrame, now: Column, first: str = "first_seen_at", ttl: str = "ttl_seconds", hold: str = "hold_until_clear") -> DataFrame:
+    """The states that a sweep at ``now`` drops: those not held whose first time and ttl are over (at the very
+    end as well). A null time or ttl is never over; a null hold is none."""
+    over = F.col(first) + F.make_interval(secs=F.col(ttl)) <= now
+    return states.where(~F.coalesce(F.col(hold), F.lit(False)) & over)
+
+
+def cleared(marked: DataFrame, clears: DataFrame) -> DataFrame:
+    """(rule_id, key_hash, seq, active, first_seq, first_us, suppressed_count) of each clear (rule_id, key_hash, seq, us).
+
+    A clear is active if the last thing before it, of its key, was a window that is held or not over by the
+    clear's time. Only windows and clears are put in order, not alarms. A clear without a time finds any window.
+    """
+    windows = states(marked).select(*KEYS, F.col("first_seq").alias("seq"), F.lit(1).alias("rank"), F.lit(None).cast("bigint").alias("us"), F.struct("first_seq", "first_us", "suppressed_count", "ttl_seconds", "hold").alias("w"))
+    ops = windows.unionByName(clears.select(*KEYS, "seq", F.lit(0).alias("rank"), "us").distinct(), allowMissingColumns=True)
+    rows = ops.withColumn("before", F.lag("w").over(Window.partitionBy(*KEYS).orderBy("seq", "rank"))).where("rank = 0")
+    b = F.col("before")
+    live = F.col("before").isNotNull() & (b.hold | F.col("us").isNull() | (F.col("us") < b.first_us + b.ttl_seconds.cast("bigint") * 1_000_000))
+    return rows.select(*KEYS, "seq", F.coalesce(live, F.lit(False)).alias("active"), *(F.when(live, b[c]).alias(c) for c in ("first_seq", "first_us", "suppressed_count")))
+
+
 def replay(ops: pd.DataFrame, capacity: int = 0) -> list[tuple[int, str]]:
     """Sequential replay of one stream with a bound on the states held (0: none): (seq, reason) of alarms.
 

@@ -16,12 +16,12 @@ from trapflow.functions.keys import dedup_key
 from trapflow.functions.matching import Event, compile_match
 from trapflow.functions.oid import normalize
 from trapflow.operators.counters import ingest_counters, interval_stats, load_ramp, outcome_counters, queue_drops, step_deltas
-from trapflow.operators.suppression import alarms_and_duplicates, states
+from trapflow.operators.suppression import alarms_and_duplicates, cleared, states, swept
 from trapflow.plans.oracles import ORACLES as TRAP_ORACLES
-from trapflow.plans.relay import filtered, outcomes, verdicts
+from trapflow.plans.relay import clear_notes, clear_operations, filtered, marked, outcomes, verdicts
 from trapflow.sources.decode import decode_packets, field_map, raw_varbind_map
 from trapflow.sources.shared import materialize
-from trapflow.sources.sinks import alert_line, summary
+from trapflow.sources.sinks import alert_line, audit_log, summary
 from trapflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,6 +377,55 @@ def relay_counts(spark: SparkSession, root: str) -> DataFrame:
     return relay_outcomes(spark, root).groupBy("reason", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_add(
+    "dedup_states",
+    f"""{_RELAY}, held AS (SELECT l.rule, l.seq AS first_seq, l.us AS first_us, count(*) - 1 AS suppressed_count FROM a ASOF JOIN lead_ l ON a.rule = l.rule AND a.key = l.key AND a.epoch = l.epoch AND a.seq >= l.seq GROUP BY ALL)
+    SELECT rule AS rule_id, first_seq, first_us, source_ip, source_port, {_norm('trap_oid')} AS trap_oid, suppressed_count FROM held JOIN trap_event t ON t.seq = held.first_seq""",
+)
+def dedup_states(spark: SparkSession, root: str) -> DataFrame:
+    """Every window with its first event (time, sender, type) and how many it held back."""
+    decided = materialize(verdicts(events(spark, root), rules(), "source_ip", "source_port", "trap_oid"), "verdicts")
+    held = states(materialize(marked(decided, rules()), "marked"))
+    first = decided.select(F.col("seq").alias("first_seq"), "source_ip", "source_port", normalize(F.coalesce("trap_oid", F.lit(""))).alias("trap_oid"))
+    return held.join(first, "first_seq").select("rule_id", "first_seq", "first_us", "source_ip", "source_port", "trap_oid", "suppressed_count")
+
+
+@_add(
+    "clears_of_states",
+    f"""{_RELAY}, c AS (SELECT e.rule, e.key, e.seq, e.epoch, k.us FROM e JOIN k USING (seq) WHERE e.rank = 0), last_ AS (SELECT rule, key, epoch, max(seq) AS seq, arg_max(us, seq) AS us, any_value(ttl) AS ttl FROM lead_ GROUP BY ALL),
+    n AS (SELECT l.rule, l.seq, count(*) - 1 AS suppressed_count FROM a ASOF JOIN lead_ l ON a.rule = l.rule AND a.key = l.key AND a.epoch = l.epoch AND a.seq >= l.seq GROUP BY ALL)
+    SELECT c.rule AS rule_id, c.seq, coalesce(l.seq IS NOT NULL AND (c.us IS NULL OR c.us < l.us + l.ttl), FALSE) AS active, CASE WHEN c.us IS NULL OR c.us < l.us + l.ttl THEN l.us END AS first_us, CASE WHEN c.us IS NULL OR c.us < l.us + l.ttl THEN n.suppressed_count END AS suppressed_count
+    FROM c LEFT JOIN last_ l ON l.rule = c.rule AND l.key = c.key AND l.epoch = c.epoch - 1 LEFT JOIN n ON n.rule = l.rule AND n.seq = l.seq""",
+)
+def clears_of_states(spark: SparkSession, root: str) -> DataFrame:
+    """The audit log's clears: whether each found an open window, since when and with how many held back."""
+    decided = materialize(verdicts(events(spark, root), rules()), "verdicts")
+    got = cleared(materialize(marked(decided, rules()), "marked"), clear_operations(decided))
+    return got.select("rule_id", "seq", "active", "first_us", "suppressed_count")
+
+
+@_add("clear_notes", f"SELECT seq, 'trap_clear_skipped' AS event, CASE WHEN {_IS(4)} THEN 'link' ELSE 'neighbour' END AS rule_id, 'source_ip' AS missing FROM trap_event WHERE {_CLEARED} AND {_f('source_ip')} = '' AND {_FILTER} IS NULL")
+def notes(spark: SparkSession, root: str) -> DataFrame:
+    """Clears that name no key, and the field that is missing."""
+    return clear_notes(verdicts(events(spark, root), rules()))
+
+
+@_add("ttl_sweep", "SELECT rule_id, key_hash FROM dedup_state WHERE NOT hold_until_clear AND epoch_us(first_seen_at) + ttl_seconds::BIGINT * 1000000 <= epoch_us(TIMESTAMP '2018-01-15 00:00:00')")
+def ttl_sweep(spark: SparkSession, root: str) -> DataFrame:
+    """Stored states that a sweep in the middle of the month drops."""
+    return swept(table(spark, root, "dedup_state"), F.lit("2018-01-15 00:00:00").cast("timestamp")).select("rule_id", "key_hash")
+
+
+@_add(
+    "audit_log",
+    f"""{_RELAY}, o AS (SELECT seq, reason, {_RULE} AS rule_id FROM r) SELECT seq, CASE reason WHEN 'filtered' THEN 'trap_filtered' WHEN 'alarm' THEN 'trap_forwarded' WHEN 'duplicate' THEN 'trap_deduplicated' WHEN 'dedup_disabled' THEN 'trap_forwarded_dedup_disabled' ELSE 'trap_passed' END AS event, rule_id,
+    CASE WHEN reason IN ('alarm', 'duplicate') THEN CASE rule_id WHEN 'neighbour' THEN 'none' WHEN 'link' THEN '600s' WHEN 'start' THEN '300s' ELSE '60s' END END AS ttl, CASE WHEN reason IN ('alarm', 'duplicate') AND rule_id = 'neighbour' THEN TRUE END AS hold_until_clear FROM o""",
+)
+def audit(spark: SparkSession, root: str) -> DataFrame:
+    """Each outcome as the audit log names it, with how long its rule holds repeats back."""
+    return audit_log(outcomes(events(spark, root), rules()), rules()).select("seq", "event", "rule_id", "ttl", "hold_until_clear")
+
+
 #: The notification that an event's own columns and bindings say, where the stored ``trap_oid`` is blank or written oddly.
 _SAID = f"CASE WHEN e.version = 0 THEN 'v1:' || e.enterprise_oid || ':' || e.generic_trap || ':' || e.specific_trap ELSE {_norm(_VARBINDS.format(chr(39) + ber.TRAP_OID + chr(39)).replace('varbinds', 'e.varbinds') + '[-1].value')} END"
 #: Events of the packets that can be read, as the decoder gives them: what rules may name is built from the packet.

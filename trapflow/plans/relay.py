@@ -111,8 +111,17 @@ def marked(decided: DataFrame, rules: Rules, *keep: str) -> DataFrame:
     """Alarm or duplicate for each event with a key (see ``alarms_and_duplicates``)."""
     ttl, hold = held_for(rules)
     alarms = decided.where("key_hash is not null and us is not null").select(F.col("alarm_rule").alias("rule_id"), "key_hash", "key_repr", "seq", "us", ttl.alias("ttl_seconds"), hold.alias("hold"), *keep)
-    clears = decided.where(F.size("clears") > 0).select(F.explode("clears").alias("c"), "seq").select("c.rule_id", "c.key_hash", "seq")
-    return alarms_and_duplicates(alarms, clears)
+    return alarms_and_duplicates(alarms, clear_operations(decided).select("rule_id", "key_hash", "seq"))
+
+
+def clear_operations(decided: DataFrame) -> DataFrame:
+    """A row for each key that an event's clears name."""
+    return decided.where(F.size("clears") > 0).select("seq", "us", F.explode("clears").alias("c")).select("c.rule_id", "c.key_hash", "c.key_repr", "seq", "us")
+
+
+def clear_notes(decided: DataFrame) -> DataFrame:
+    """(seq, event, rule_id, missing) of clears that name no key."""
+    return decided.where(F.size("notes") > 0).select("seq", F.explode("notes").alias("n")).select("seq", "n.*")
 
 
 def outcomes(events: DataFrame, rules: Rules, *keep: str) -> DataFrame:

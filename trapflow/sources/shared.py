@@ -20,14 +20,30 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+#: Folders made since the last release, by application.
+_made: dict[str, list[str]] = {}
+
+
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes with ``release``."""
+    path = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate folders made so far: call it when the results of queries have been written."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, an executor may be lost."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut, an executor may be lost. The folder
+    goes with ``release``, or when the driver ends."""
     path = fresh_folder(df.sparkSession, purpose)
     df.write.parquet(path)
+    fs, at = _fs(df.sparkSession, path)
+    fs.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

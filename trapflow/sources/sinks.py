@@ -70,11 +70,6 @@ def audit_log(outcomes: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def clear_log(decided: DataFrame) -> DataFrame:
-    """A row for each key that an event's clears name: (seq, rule_id, key_hash, key_repr)."""
-    return decided.select("seq", F.explode("clears").alias("c")).select("seq", "c.rule_id", "c.key_hash", "c.key_repr")
-
-
 def _open(targets: Sequence[Target]) -> list[tuple[Target, socket.socket]]:
     out = []
     for t in targets:

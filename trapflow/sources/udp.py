@@ -15,7 +15,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-SCHEMA = "seq bigint, received_at timestamp, source_ip string, source_port int, payload binary"
+#: ``dropped``: packets that the full buffer refused before this one and since the one before it.
+SCHEMA = "seq bigint, received_at timestamp, source_ip string, source_port int, payload binary, dropped bigint"
 
 
 class UdpSource(DataSource):
@@ -36,7 +37,7 @@ class UdpReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
         self.waiting: queue.Queue | None = None
-        self.dropped = 0
+        self.dropped = self.told = 0
         self.kept: dict[int, list[tuple]] = {}
 
     def listen(self) -> None:
@@ -71,7 +72,8 @@ class UdpReader(SimpleDataSourceStreamReader):
                 at, ip, port, data = self.waiting.get_nowait()
             except queue.Empty:
                 break
-            rows.append((start["seq"] + len(rows), at, ip, port, data))
+            refused, self.told = self.dropped - self.told, self.dropped
+            rows.append((start["seq"] + len(rows), at, ip, port, data, refused))
         self.kept[start["seq"]] = rows
         return iter(rows), {"seq": start["seq"] + len(rows)}
 

@@ -22,11 +22,13 @@ from trapflow.sources.shared import delete
 from trapflow.sources.sinks import EVENT_NAMES, alert_line, fan_out, with_forwarding
 from trapflow.streaming.relay import relay_stream
 
-KEEP = ("raw_bytes", "alert")
+KEEP = ("raw_bytes", "alert", "dropped")
 
 
 def packet_events(packets: DataFrame, rules: Rules, **options) -> DataFrame:
-    """Events of packets (seq, received_at, source_ip, source_port, payload); those that cannot be read have an ``error``."""
+    """Events of packets (seq, received_at, source_ip, source_port, payload; ``dropped``: packets refused before this
+    one, if there is such a column); those that cannot be read have an ``error``."""
+    packets = packets if "dropped" in packets.columns else packets.withColumn("dropped", F.lit(0).cast("bigint"))
     read = decode_packets(packets, users=rules.users, **options)
     read = read.withColumn("raw_varbind_map", raw_varbind_map()).withColumn("fields", field_map(read, rules.aliases))
     return read.withColumn("alert", alert_line(micros(F.col("received_at"))))
@@ -52,7 +54,8 @@ def write_batch(log: DataFrame, number: int, rules: Rules, folder: str) -> None:
     outcomes.select("seq", "accepted", "forwarded", "reason", "rule_id").write.mode("overwrite").parquet(at("outcomes"))
     outcomes.where("forwarded").select("alert").write.mode("overwrite").text(at("alerts"))
     unread = F.count_if(F.col("reason") == "parse_failed").alias("parse_failed")
-    counted = outcomes.agg(F.count(F.lit(1)).alias("received"), unread, *outcome_counters()).withColumn("queue_dropped", F.lit(0).cast("bigint"))
+    refused = F.coalesce(F.sum("dropped"), F.lit(0))
+    counted = outcomes.agg((F.count(F.lit(1)) + refused).alias("received"), refused.alias("queue_dropped"), unread, *outcome_counters())
     counted.select(*COUNTERS).coalesce(1).write.mode("overwrite").parquet(at("counters"))
 
 
