@@ -29,7 +29,8 @@ def test_inheritance():
     "text",
     ["server: {max_dedup_entries: -1}", "server: {queue_size: -1}", "server: {port: 70000}", "metrics: {enabled: true, path: metrics}", "runtime: {memory_limit: nope}", "filters: {default_action: maybe}",
      "filters: {rules: [{action: drop}]}", "filters: {rules: [{id: a}, {id: a}]}", "filters: {rules: [{id: a, action: odd}]}", "alarms: [{id: a}]", MINIMAL + "alarms: [{id: a, dedup: {hold_until_clear: true}}]",
-     MINIMAL + "alarms: [{id: a, dedup: {clear: {key_fields: [x]}}}]", "receiver: {v3_users: [{user_name: ' '}]}", "receiver: {v3_users: [{user_name: u, authentication_protocol: rot13}]}", "- list", "a: [", "filters: 3"],
+     MINIMAL + "alarms: [{id: a, dedup: {clear: {key_fields: [x]}}}]", "receiver: {v3_users: [{user_name: ' '}]}", "receiver: {v3_users: [{user_name: u, authentication_protocol: rot13}]}", "- list", "a: [", "filters: 3",
+     "server: {port: many}", "server: {queue_size: [1]}", "dedup_defaults: {ttl_seconds: soon}", "forwarders: [{host: h, port: x}]", "filters: {rules: [3]}", MINIMAL + "alarms: [{id: a, dedup: {key_fields: 5}}]"],
 )
 def test_refused(text):
     with pytest.raises(ConfigError):

@@ -108,3 +108,39 @@ def test_alias_covers_a_field_and_dotless_aliases_win(spark):
     assert alias_table({".1.2": "dotted", "1.2": "bare", "1.3": ""}) == {"1.2": "bare"}
     df = spark.createDataFrame([(1, "10.0.0.1", 162, bytearray(ber.v2_trap("1.3.6", [("1.2.3", ber.octets("other"))])))], "seq long, source_ip string, source_port int, payload binary")
     assert events(df, {"1.2.3": "source_ip"}).first().fields["source_ip"] == "other"
+
+
+@pytest.mark.parametrize(
+    ("size", "want"), [(16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (24, "dda97ca4864cdfe06eaf70a0ec0d7191"), (32, "8ea2b7ca516745bfeafc49904b496089")]
+)  # the published examples of the cipher
+def test_cipher(size, want):
+    import numpy as np
+
+    from trapflow.functions.cipher import cfb_decrypt, cfb_encrypt, encrypt_blocks
+
+    block = np.frombuffer(bytes.fromhex("00112233445566778899aabbccddeeff"), dtype=np.uint8)[None, :]
+    assert encrypt_blocks(block, bytes(range(size))).tobytes().hex() == want
+    for n in (0, 1, 16, 31, 200):
+        text = bytes(k * 7 % 251 for k in range(n))
+        assert cfb_decrypt(cfb_encrypt(text, bytes(range(size)), b"s" * 16), bytes(range(size)), b"s" * 16) == text
+
+
+def test_keys_of_a_passphrase():
+    """The published examples of RFC 3414, A.3."""
+    engine = bytes.fromhex("000000000000000000000002")
+    assert ber.localized_key("md5", "maplesyrup", engine).hex() == "526f5eed9fcce26f8964c2930787d82b"
+    assert ber.localized_key("sha", "maplesyrup", engine).hex() == "6695febc9288e36282235fc7151f128497b38f3f"
+    assert ber.privacy_key("sha", "aes", "maplesyrup", engine).hex() == "6695febc9288e36282235fc7151f1284"
+    assert len(ber.privacy_key("md5", "aes256", "maplesyrup", engine)) == len(ber.privacy_key("md5", "aes256c", "maplesyrup", engine)) == 32
+    assert ber.privacy_key("md5", "aes192", "maplesyrup", engine) != ber.privacy_key("md5", "aes192c", "maplesyrup", engine)
+
+
+@pytest.mark.parametrize("privacy", ["aes", "aes192", "aes256", "aes192c", "aes256c"])
+def test_encrypted_messages(privacy):
+    data = ber.v3_trap("1.3.6.1.9", [("1.2.3", ber.octets("long value " * 9))], "u", "sha256", "long secret", privacy=privacy, secret="other secret")
+    users = {"u": ("sha256", "long secret", privacy, "other secret")}
+    got = ber.read_message(data, users=users)
+    assert (got.trap_oid, got.varbinds[-1][2]) == ("1.3.6.1.9", "long value " * 9)
+    for wrong in ({"u": ("sha256", "long secret")}, {"u": ("sha256", "long secret", "des", "other secret")}, {"u": ("sha256", "long secret", privacy, "wrong secret")}, {}):
+        with pytest.raises(ber.WireError):
+            ber.read_message(data, users=wrong)

@@ -233,7 +233,16 @@ def _alarm(rule: dict[str, Any], rule_id: str, ttl: int, keys: tuple[str, ...])
 
 
 def parse_rules(text: str) -> Rules:
-    """Rules of a YAML text; raises ConfigError if they cannot be used."""
+    """Rules of a YAML text; raises ConfigError if they cannot be used, also for values of a wrong type."""
+    try:
+        return _parse(text)
+    except ConfigError:
+        raise
+    except (TypeError, ValueError, AttributeError, OverflowError) as e:
+        raise ConfigError(f"a value of a wrong type: {e}") from e
+
+
+def _parse(text: str) -> Rules:
     try:
         raw = yaml.load(text, Loader=_Loader) or {}  # noqa: S506 - a safe loader
     except yaml.YAMLError as e:

@@ -10,6 +10,9 @@ import hmac
 import ipaddress
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
+
+from trapflow.functions.cipher import cfb_decrypt, cfb_encrypt
 
 # Object identifiers and tags of the protocol.
 TRAP_OID, UPTIME_OID = "1.3.6.1.6.3.1.1.4.1.0", "1.3.6.1.2.1.1.3.0"
@@ -176,12 +179,12 @@ def _read_pdu(message: Message, tag: int, body: bytes, short_names: bool) -> Mes
     return message
 
 
-def read_message(data: bytes, short_names: bool = False, users: dict[str, tuple[str, str]] | None = None, informs: bool = False) -> Message:
+def read_message(data: bytes, short_names: bool = False, users: dict[str, tuple[str, ...]] | None = None, informs: bool = False) -> Message:
     """The notification in a datagram; bytes after the message are not looked at.
 
-    ``users``: name -> (authentication protocol, passphrase) for version 3. Encrypted messages of
-    version 3 cannot be read here (there is no cipher at hand) and raise WireError. ``informs``:
-    take acknowledged notifications too.
+    ``users``: name -> (authentication protocol, passphrase[, privacy protocol, passphrase]) for version 3.
+    Messages encrypted with AES are read; with DES they raise WireError. ``informs``: take acknowledged
+    notifications too.
     """
     tag, s, e = next(elements(data), (0, 0, 0))
     if tag != 0x30:
@@ -201,17 +204,39 @@ def read_message(data: bytes, short_names: bool = False, users: dict[str, tuple[
 _HASHES = {"md5": ("md5", 12), "sha": ("sha1", 12), "sha224": ("sha224", 16), "sha256": ("sha256", 24), "sha384": ("sha384", 32), "sha512": ("sha512", 48)}
 
 
+# Bytes of the key, by privacy protocol, and whether a longer key is made by hashing the key again
+# (False) or by treating it as a passphrase of its own (True).
+_CIPHERS = {"aes": (16, False), "aes192": (24, False), "aes256": (32, False), "aes192c": (24, True), "aes256c": (32, True)}
+
+
+@lru_cache(maxsize=4096)
+def privacy_key(auth: str, privacy: str, passphrase: str, engine: bytes) -> bytes:
+    """The key of a cipher at an engine: the localized key, made longer where the cipher needs more."""
+    length, again = _CIPHERS[privacy]
+    name, _ = _HASHES[auth]
+    key = localized_key(auth, passphrase, engine)
+    part = key
+    while len(key) < length:
+        part = _localized(name, part, engine) if again else hashlib.new(name, key).digest()
+        key += part
+    return key[:length]
+
+
+def _localized(name: str, raw: bytes, engine: bytes) -> bytes:
+    key = hashlib.new(name, (raw * (1_048_576 // len(raw) + 1))[:1_048_576]).digest()
+    return hashlib.new(name, key + engine + key).digest()
+
+
+@lru_cache(maxsize=4096)
 def localized_key(protocol: str, passphrase: str, engine: bytes) -> bytes:
     """The user's key at an engine (RFC 3414): a hash of one million octets of the passphrase, then of the engine."""
     name, _ = _HASHES[protocol]
-    raw = passphrase.encode()
-    if not raw:
+    if not passphrase:
         raise WireError("no passphrase")
-    key = hashlib.new(name, (raw * (1_048_576 // len(raw) + 1))[:1_048_576]).digest()
-    return hashlib.new(name, key + engine + key).digest()
+    return _localized(name, passphrase.encode(), engine)
 
 
-def _read_v3(data: bytes, s: int, e: int, short_names: bool, users: dict[str, tuple[str, str]], informs: bool) -> Message:
+def _read_v3(data: bytes, s: int, e: int, short_names: bool, users: dict[str, tuple[str, ...]], informs: bool) -> Message:
     f = _Fields(data, s, e)
     f.take("version")
     header = _Fields(f.take("header", 0x30)[1])
@@ -222,11 +247,11 @@ def _read_v3(data: bytes, s: int, e: int, short_names: bool, users: dict[str, tu
     if inner is None or inner[0] != 0x30:
         raise WireError("expected security parameters")
     p = _Fields(security, inner[1], inner[2])
-    engine, _, _, user, signature = (p.take(what)[1] for what in ("engine", "boots", "time", "user", "signature"))
-    if flags[0] & 2:
-        raise WireError("encrypted message: no cipher is available")
+    engine, boots, clock, user, signature, salt = (p.take(what)[1] for what in ("engine", "boots", "time", "user", "signature", "salt"))
+    protocol, passphrase, privacy, secret = (*users.get(user.decode("utf-8", "replace"), ()), "", "", "", "")[:4]
+    if flags[0] & 2 and not flags[0] & 1:
+        raise WireError("an encrypted message must be signed")
     if flags[0] & 1:
-        protocol, passphrase = users.get(user.decode("utf-8", "replace"), ("", ""))
         if protocol not in _HASHES:
             raise WireError("unknown user")
         at = data.find(signature, s) if signature else -1
@@ -234,7 +259,19 @@ def _read_v3(data: bytes, s: int, e: int, short_names: bool, users: dict[str, tu
         name, length = _HASHES[protocol]
         if at < 0 or not hmac.compare_digest(hmac.new(localized_key(protocol, passphrase, engine), blank, name).digest()[:length], signature):
             raise WireError("wrong signature")
-    scoped = _Fields(f.take("scoped message", 0x30)[1])
+    if flags[0] & 2:
+        if privacy not in _CIPHERS:
+            raise WireError("no cipher for this user's messages")
+        if len(salt) != 8:
+            raise WireError("expected a salt of 8 bytes")
+        start = b"".join((int.from_bytes(x) & 0xFFFFFFFF).to_bytes(4) for x in (boots, clock)) + salt
+        plain = cfb_decrypt(f.take("encrypted message", 0x04)[1], privacy_key(protocol, privacy, secret, engine), start)
+        inner = next(elements(plain), None)
+        if inner is None or inner[0] != 0x30:
+            raise WireError("wrong key")
+        scoped = _Fields(plain, inner[1], inner[2])
+    else:
+        scoped = _Fields(f.take("scoped message", 0x30)[1])
     scoped.take("context engine"), scoped.take("context name")
     kind, body = scoped.take("message body")
     if kind == INFORM and not informs:
@@ -285,15 +322,18 @@ def v1_trap(enterprise: str, generic: int, specific: int, pairs: list[tuple[str,
     return element(0x30, integer(0) + octets(community) + element(V1_TRAP, body))
 
 
-def v3_trap(trap: str, pairs: list[tuple[str, bytes]], user: str = "", protocol: str = "", passphrase: str = "", engine: bytes = b"\x80\0\0\0\1") -> bytes:
-    """An unencrypted trap of version 3, signed if ``protocol`` is given."""
+def v3_trap(trap: str, pairs: list[tuple[str, bytes]], user: str = "", protocol: str = "", passphrase: str = "", engine: bytes = b"\x80\0\0\0\1", privacy: str = "", secret: str = "", salt: bytes = b"saltsalt") -> bytes:
+    """A trap of version 3, signed if ``protocol`` is given, and encrypted if ``privacy`` is."""
     bound = varbind_list([(UPTIME_OID, integer(0, 0x43)), (TRAP_OID, oid(trap)), *pairs])
     length = _HASHES[protocol][1] if protocol else 0
+    scoped = element(0x30, octets(engine) + octets(b"") + element(V2_TRAP, integer(1) + integer(0) + integer(0) + bound))
+    if privacy:
+        start = (1).to_bytes(4) * 2 + salt
+        scoped = octets(cfb_encrypt(scoped, privacy_key(protocol, privacy, secret, engine), start))
 
     def whole(signature: bytes) -> bytes:
-        header = element(0x30, integer(1) + integer(65507) + octets(bytes((1 if protocol else 0,))) + integer(3))
-        security = octets(element(0x30, octets(engine) + integer(1) + integer(1) + octets(user) + octets(signature) + octets(b"")))
-        scoped = element(0x30, octets(engine) + octets(b"") + element(V2_TRAP, integer(1) + integer(0) + integer(0) + bound))
+        header = element(0x30, integer(1) + integer(65507) + octets(bytes((bool(protocol) + 2 * bool(privacy),))) + integer(3))
+        security = octets(element(0x30, octets(engine) + integer(1) + integer(1) + octets(user) + octets(signature) + octets(salt if privacy else b"")))
         return element(0x30, integer(3) + header + security + scoped)
 
     blank = whole(bytes(length))

@@ -22,7 +22,7 @@ DECODED = T.StructType(
 )
 
 
-def _row(payload: bytes | None, short_names: bool, users: Mapping[str, tuple[str, str]], informs: bool, library: bool) -> dict:
+def _row(payload: bytes | None, short_names: bool, users: Mapping[str, tuple[str, ...]], informs: bool, library: bool) -> dict:
     try:
         if payload is None:
             raise WireError("no payload")
@@ -41,7 +41,7 @@ def decoder(users: tuple[User, ...] = (), short_names: bool = False, informs: bo
     ``short_names``: value types by their short names; ``library``: these, the kind of message by name and no
     request and error numbers.
     """
-    known = {u.name: (u.auth_protocol, u.auth_passphrase) for u in users}
+    known = {u.name: (u.auth_protocol, u.auth_passphrase, u.priv_protocol, u.priv_passphrase) for u in users}
     names = [f.name for f in DECODED.fields]
 
     @F.pandas_udf(DECODED)
