@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trapflow.operators import skew
+from trapflow.operators import skew, windows_from_first
 from trapflow.operators.prefix import running
 from trapflow.operators.runs import runs
 from trapflow.operators.sessions import sessions
@@ -91,8 +91,9 @@ def simple_windows(us, width):
     return out
 
 
-@pytest.mark.parametrize("size", [1, 10**6])
-def test_windows_from_first(spark, size):
+@pytest.mark.parametrize(("size", "dense"), [(1, 500_000), (10**6, 500_000), (10**6, 2)])
+def test_windows_from_first(spark, size, dense, monkeypatch):
+    monkeypatch.setattr(windows_from_first, "CHUNK_ROWS", dense)
     r = random.Random(4)
     rows = [(k, u) for k in ("a", "b", "c") for u in np.cumsum([r.choice([1, 3, 9, 10, 11, 95]) for _ in range(300)]).tolist()] + [("d", 5), ("d", 5)]
     df = spark.createDataFrame([(k, u, i) for i, (k, u) in enumerate(rows)], "k string, us long, i long")

@@ -13,8 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trapflow.operators.skew import hot_split_join
+
 #: A chunk in widths: longer chunks, fewer steps from chunk to chunk.
 CHUNK_WIDTHS = 4
+#: Rows of a chunk, about: one that holds more is cut into pieces of equal time, each of which is a chunk.
+CHUNK_ROWS = 500_000
 #: Rows of a key that are folded as one array; each step copies the array of the steps before.
 SMALL = 256
 
@@ -76,14 +80,22 @@ def _folded(rows: DataFrame, keys: list[str], us: str, width: Column | int) -> D
 def _chunked(rows: DataFrame, keys: list[str], us: str, width: Column | int) -> DataFrame:
     kinds = dict(rows.dtypes)
     columns = rows.columns
-    rows = rows.withColumn("_width", width if isinstance(width, Column) else F.lit(width).cast("bigint")).withColumn("_chunk", F.floor(F.col(us) / (F.col("_width") * CHUNK_WIDTHS)))
+    rows = rows.withColumn("_width", width if isinstance(width, Column) else F.lit(width).cast("bigint"))
     by = [*keys, "_width"]
+    whole = F.col("_width") * CHUNK_WIDTHS
+    rows = rows.withColumn("_coarse", F.floor(F.col(us) / whole))
+    counts = rows.groupBy(*by, "_coarse").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = counts.withColumn("_pieces", F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("_rows") / CHUNK_ROWS)), F.lit(0))).cast("bigint"))
+    rows = hot_split_join(rows, counts, [*by, "_coarse"], "_rows", ["_pieces"], us)
+    length, start = F.greatest(F.ceil(whole / F.col("_pieces")), F.lit(1)), F.col("_coarse") * whole
+    # A chunk goes by the time it starts at.
+    rows = rows.withColumn("_chunk", start + F.floor((F.col(us) - start) / length) * length).drop("_coarse", "_pieces", "_rows")
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _width bigint"
     times = rows.select(*by, "_chunk", F.col(us).alias("_us")).distinct()
 
     def tables(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk, width = int(pdf["_chunk"].iat[0]), int(pdf["_width"].iat[0])
-        upto, last = exit_table(np.sort(pdf["_us"].to_numpy()), chunk * CHUNK_WIDTHS * width, width)
+        upto, last = exit_table(np.sort(pdf["_us"].to_numpy()), chunk, width)
         return pd.DataFrame({**{k: pdf[k].iat[0] for k in by}, "_chunk": chunk, "_upto": upto, "_last": last})
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
