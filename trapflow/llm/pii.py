@@ -101,7 +101,6 @@ _COMMA_GIVEN = re.compile(r",([ \n]{1,3})([^\W\d_]+(?:['’-][^\W\d_]+)*)((?:[ \
 _BEFORE_COMMA = re.compile(r"(?<![\w@.'’-])([^\W\d_]+(?:['’-][^\W\d_]+)*),([ \n]{1,3})\Z")
 _BEFORE_SURNAME = re.compile(r"(?<![\w@.'’-])([^\W\d_]{2,}(?:['’-][^\W\d_]+)*)([ \n]{1,3})\Z")
 _MIDDLE = re.compile(r"[ \n]{1,3}[^\W\d_]\.(?!\w)")
-_LAST_WORD = re.compile(r"([^\W\d_]+)\W{0,4}\Z")
 _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
 _WRAPPED_HYPHEN = re.compile(r"-(?<=\w-)[ \t]*\n[ \t]*(?=\w)")
 
@@ -160,8 +159,16 @@ def unwrapped(text: str) -> str:
 
 
 def _cue(text: str, start: int) -> str:
-    m = _LAST_WORD.search(text, max(0, start - NEAR), start)
-    return m[1].lower() if m else ""
+    """The last word before a place, at most four other characters away."""
+    low, end = max(0, start - NEAR), start
+    while end > low and end > start - 5 and not text[end - 1].isalpha():
+        if text[end - 1].isdigit() or text[end - 1] == "_":
+            return ""
+        end -= 1
+    at = end
+    while at > low and text[at - 1].isalpha():
+        at -= 1
+    return text[at:end].lower() if start - end <= 4 else ""
 
 
 def _local_start(text: str, end: int) -> int:
@@ -408,15 +415,15 @@ def _names(text: str, low: str, lex: Lexicons, seen: set[str]) -> Iterable[Span]
         case = _case(word) == "l"
         if text[end : end + 1] in (" ", "\n") and (m := _AFTER_GIVEN.match(text, end, end + 60)) and len(m[1]) > 1 and (_case(m[1]) == "l") == case:
             yield _named("GS", word, m[1], text[end : m.start(1)], start, m.end(), text, lex)
-        if (m := _BEFORE_COMMA.search(text, max(0, start - 50), start)) and len(m[1]) > 2 and (_case(m[1]) == "l") == case:
+        if start > 1 and text[start - 1] in " \n" and "," in text[max(0, start - 4) : start] and (m := _BEFORE_COMMA.search(text, max(0, start - 50), start)) and len(m[1]) > 2 and (_case(m[1]) == "l") == case:
             more = _MIDDLE.match(text, end)
             yield _named("SG", word, m[1], m[2], m.start(1), more.end() if more else end, text, lex)
     for start, end in _whole_words(text, low, seen & surnames):
         word = text[start:end]
         case = _case(word) == "l"
-        if not case and (m := _BEFORE_SURNAME.search(text, max(0, start - 40), start)) and m[1].lower() not in given and m[1][:1].isupper():
+        if not case and start and text[start - 1] in " \n" and (m := _BEFORE_SURNAME.search(text, max(0, start - 40), start)) and m[1].lower() not in given and m[1][:1].isupper():
             yield _named("GS", m[1], word, m[2], m.start(1), end, text, lex)
-        if (m := _COMMA_GIVEN.match(text, end, end + 40)) and m[2].lower() not in given and (_case(m[2]) == "l") == case:
+        if text[end : end + 1] == "," and (m := _COMMA_GIVEN.match(text, end, end + 40)) and m[2].lower() not in given and (_case(m[2]) == "l") == case:
             yield _named("SG", m[2], word, m[1], start, m.end(), text, lex)
     for m in _INITIAL.finditer(text):
         t, initial = _TOKEN.match(text, m.end()), text[m.start() - 1]
