@@ -81,11 +81,12 @@ alarms:
 
 
 def operations(seed, n=600):
+    """Alarms of seven keys, also late ones, with ttl, hold or a negative ttl, and clears."""
     r = random.Random(seed)
     rows = []
     for i in range(n):
         k, clear = r.choice("abcdefg"), r.random() < 0.05
-        rows.append({"rule_id": "r1" if k < "d" else "r2" if k < "f" else "h", "key_hash": k, "seq": i * 7, "rank": 0 if clear else 1, "us": 0 if clear else int((i * 3 + r.choice([0, 0, 0, -40, -90, 5])) * 1e6), "ttl_seconds": 60 if k < "d" else 25 if k < "f" else 0, "hold": k == "f"})
+        rows.append({"rule_id": "r1" if k < "d" else "r2" if k < "f" else "h", "key_hash": k, "seq": i * 7, "rank": 0 if clear else 1, "us": 0 if clear else int((i * 3 + r.choice([0, 0, 0, -40, -90, 5])) * 1e6), "ttl_seconds": 60 if k < "d" else 25 if k < "e" else -30 if k < "f" else 0, "hold": k == "f"})
     return pd.DataFrame(rows)
 
 

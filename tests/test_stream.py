@@ -73,7 +73,7 @@ def test_scenarios_through_stream_and_batch(spark, tmp_path):
 
 def random_operations(seed, n=400):
     r = random.Random(seed)
-    rows = [{"rule_id": "r", "key_hash": "k", "seq": i, "rank": CLEAR_RANK if r.random() < 0.05 else ALARM, "us": int((i * 3 + r.choice([0, 0, -40, 5])) * 1e6), "ttl_seconds": 60, "hold": seed % 2 == 0} for i in range(n)]
+    rows = [{"rule_id": "r", "key_hash": "k", "seq": i, "rank": CLEAR_RANK if r.random() < 0.05 else ALARM, "us": int((i * 3 + r.choice([0, 0, -40, 5])) * 1e6), "ttl_seconds": -30 if seed == 3 else 60, "hold": seed % 2 == 0} for i in range(n)]
     return pd.DataFrame(rows)
 
 

@@ -29,6 +29,14 @@ def escaped(value: Column) -> Column:
     return F.when(value.rlike(_SPECIAL), out).otherwise(value)
 
 
+def escaped_column(name: str) -> Column:
+    """The same of a column, as one expression that is parsed at once."""
+    out = rf"replace({name}, r'\', r'\\')"
+    for c, e in [*_SHORT.items(), *((c, f"\\u{ord(c):04x}") for c in _LONG)]:
+        out = f"replace({out}, char({ord(c)}), r'{e}')" if ord(c) < 128 else f"replace({out}, '{c}', r'{e}')"
+    return F.when(F.col(name).rlike(_SPECIAL), F.expr(out)).otherwise(F.col(name))
+
+
 def dedup_key(event: Event, names: tuple[str, ...]) -> Column:
     """STRUCT<hash, repr, missing>: hash and repr null if a field is blank or none is asked for.
 
@@ -39,7 +47,8 @@ def dedup_key(event: Event, names: tuple[str, ...]) -> Column:
     missing = F.filter(F.array(*(F.when(b, F.lit(n)) for n, b in zip(names, blank, strict=True))), lambda x: x.isNotNull()) if names else F.array().cast("array<string>")
     parts: list[Column] = []
     for k, (n, v) in enumerate(zip(names, values, strict=True)):
-        parts += [F.lit(("[" if k == 0 else ",") + '{"field":"' + escaped_text(n) + '","value":"'), escaped(v), F.lit('"}')]
+        slot = event.slot(n)
+        parts += [F.lit(("[" if k == 0 else ",") + '{"field":"' + escaped_text(n) + '","value":"'), escaped(v) if slot is None else escaped_column(slot), F.lit('"}')]
     any_blank = F.lit(not names)
     for b in blank:
         any_blank = any_blank | b

@@ -30,6 +30,17 @@ def is_oid_field(name: str) -> bool:
     return name in _OID_FIELDS or name.startswith(("varbind.", "varbind:"))
 
 
+def field_keys(name: str) -> list[str]:
+    """Names under which a field may stand, in the order in which they are tried."""
+    keys = [name]
+    if name.startswith("fields."):
+        keys.append(name.removeprefix("fields."))
+    if name.startswith(("varbind.", "varbind:")):
+        oid = plain_oid(name[len("varbind.") :])
+        keys += [f"varbind.{v}" for v in dict.fromkeys((oid, oid.strip()))]
+    return [k for k in dict.fromkeys(keys) if k]
+
+
 @dataclass(frozen=True)
 class Event:
     """Where an event's fields are. ``known`` has columns or constants that stand for fields."""
@@ -43,18 +54,48 @@ class Event:
 
     def resolve(self, name: str) -> Column:
         """Value of a field, blank if there is none: the name itself, the alias, the variable binding."""
-        keys = [name]
-        if name.startswith("fields."):
-            keys.append(name.removeprefix("fields."))
-        if name.startswith(("varbind.", "varbind:")):
-            oid = plain_oid(name[len("varbind.") :])
-            keys += [f"varbind.{v}" for v in dict.fromkeys((oid, oid.strip()))]
-        found = [self.known[k] if k in self.known else F.try_element_at(self.fields, F.lit(k)) for k in dict.fromkeys(keys) if k]
+        found = [self.known[k] if k in self.known else F.try_element_at(self.fields, F.lit(k)) for k in field_keys(name)]
         return F.coalesce(*found, F.lit(""))
 
     def compared(self, name: str) -> Column:
         return normalize(self.resolve(name)) if is_oid_field(name) else self.resolve(name)
 
+    def slot(self, name: str) -> str | None:
+        """Name of the column that holds the field's value, if there is one."""
+        return None
+
+
+@dataclass(frozen=True)
+class Slotted(Event):
+    """An event whose fields are looked up once each: the columns ``made`` must be selected before what is
+    built from the event, under their names."""
+
+    made: dict[str, Column] = field(default_factory=dict)
+    slots: dict[tuple[str, bool], str] = field(default_factory=dict)
+
+    def replaced(self, **known: Column) -> Event:
+        return Slotted(self.fields, self.varbinds, {**self.known, **known}, self.made, self.slots)
+
+    def _slot(self, name: str, plain: bool) -> str | None:
+        if any(k in self.known for k in field_keys(name)):
+            return None
+        slot = self.slots.setdefault((name, plain), f"_slot{len(self.slots)}")
+        if slot not in self.made:
+            value = Event.resolve(self, name)
+            self.made[slot] = normalize(value) if plain else value
+        return slot
+
+    def slot(self, name: str) -> str | None:
+        return self._slot(name, False)
+
+    def resolve(self, name: str) -> Column:
+        slot = self._slot(name, False)
+        return Event.resolve(self, name) if slot is None else F.col(slot)
+
+    def compared(self, name: str) -> Column:
+        slot = self._slot(name, True) if is_oid_field(name) else None
+        return Event.compared(self, name) if slot is None else F.col(slot)
+
 
 @dataclass(frozen=True)
 class Verdict:

@@ -32,6 +32,8 @@ BITMAP_BITS = 32768
 PIECE = 500_000
 #: Times a delivery starts again because another came first.
 ATTEMPTS = 20
+#: Columns of the segments that are the same in every store.
+SCHEMAS = {"seen": "shard int, bucket bigint, bits binary", "dead": "shard int, code bigint"}
 #: A store with more segments of one kind is compacted by the next delivery.
 MAX_SEGMENTS = 64
 
@@ -85,14 +87,19 @@ class SeenStore:
         """Segments of a kind. Files are sorted by shard, so a list of shards prunes what is read."""
         if not state[kind]:
             return None
-        rows = _union([self.spark.read.parquet(f"{self.folder}/{kind}/{s}") for s in state[kind]])
+        reader = self.spark.read.schema(SCHEMAS[kind]) if kind in SCHEMAS else self.spark.read
+        rows = _union([reader.parquet(f"{self.folder}/{kind}/{s}") for s in state[kind]])
         return rows if shards is None or len(shards) == self.shards else rows.where(F.col("shard").isin(*shards))
 
     def _write(self, kind: str, df: DataFrame, *by: str) -> str:
+        return self._written(kind, df, *by)[0]
+
+    def _written(self, kind: str, df: DataFrame, *by: str) -> tuple[str, DataFrame]:
+        """Write a segment: (its name, its rows as they were written)."""
         segment = uuid.uuid4().hex
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.folder}/{kind}/{segment}")
-        return segment
+        return segment, self.spark.read.schema(df.schema).parquet(f"{self.folder}/{kind}/{segment}")
 
     def _alive(self, state: dict[str, Any], kind: str, shards: list[int] | None = None) -> DataFrame | None:
         rows, dead = self._read(state, kind, shards), self._read(state, "dead", shards)
@@ -192,9 +199,9 @@ class SeenStore:
             coded = coded.unionByName(messages.where("code is not null and new > 0").withColumn("fresh", F.lit(False)).select(*coded.columns))
             gone = known.join(messages.select(*KEYS, "anchor"), [*KEYS, "anchor"], "left_anti")
             added["dead"] = [self._write("dead", gone.select("shard", "code"))]
-        at = self._write("arrivals", self._arrivals(rows, coded, one), *([groups] if groups else []))
-        added["arrivals"] = [at]
-        return added, self.spark.read.parquet(f"{self.folder}/arrivals/{at}")
+        segment, arrivals = self._written("arrivals", self._arrivals(rows, coded, one), *([groups] if groups else []))
+        added["arrivals"] = [segment]
+        return added, arrivals
 
     def _number(self, messages: DataFrame, free: list[int]) -> tuple[DataFrame, list[int], str]:
         """Give each message the next free code of its shard.
@@ -209,8 +216,7 @@ class SeenStore:
         inside = F.row_number().over(Window.partitionBy("shard", "piece").orderBy(*KEYS, "anchor")) - 1
         numbered = cut.withColumn("inside", inside).join(sizes.select("shard", "piece", before.alias("before")), ["shard", "piece"])
         code = F.get(F.array(*(F.lit(n).cast("bigint") for n in free)), F.col("shard")) + F.col("before") + F.col("inside")
-        segment = self._write("dictionary", numbered.withColumn("code", code).drop("piece", "inside", "before"))
-        written = self.spark.read.parquet(f"{self.folder}/dictionary/{segment}")
+        segment, written = self._written("dictionary", numbered.withColumn("code", code).drop("piece", "inside", "before"))
         ends = dict(written.groupBy("shard").agg((F.max("code") + 1).alias("end")).collect())  # a row a shard
         return written, [ends.get(s, n) for s, n in enumerate(free)], segment
 
@@ -245,8 +251,7 @@ class SeenStore:
         if seen is not None:
             tested = chosen.join(seen, ["shard", "bucket"], "left")
             chosen = tested.where(F.col("bits").isNull() | ~_bit(F.col("bits"), F.bitmap_bit_position("code"))).drop("bits")
-        segment = self._write("kept", chosen)
-        kept = self.spark.read.parquet(f"{self.folder}/kept/{segment}")
+        segment, kept = self._written("kept", chosen)
         bits = kept.groupBy("shard", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("code")).alias("bits"))
         return {"kept": [segment], "seen": [self._write("seen", bits)]}, kept
 

@@ -120,7 +120,7 @@ def cleared(marked: DataFrame, clears: DataFrame) -> DataFrame:
     ops = windows.unionByName(clears.select(*KEYS, "seq", F.lit(0).alias("rank"), "us").distinct(), allowMissingColumns=True)
     rows = ops.withColumn("before", F.lag("w").over(Window.partitionBy(*KEYS).orderBy("seq", "rank"))).where("rank = 0")
     b = F.col("before")
-    live = F.col("before").isNotNull() & (b.hold | F.col("us").isNull() | (F.col("us") < b.first_us + b.ttl_seconds.cast("bigint") * 1_000_000))
+    live = F.col("before").isNotNull() & (b.hold | F.col("us").isNull() | (b.ttl_seconds >= 0) & (F.col("us") < b.first_us + b.ttl_seconds.cast("bigint") * 1_000_000))
     return rows.select(*KEYS, "seq", F.coalesce(live, F.lit(False)).alias("active"), *(F.when(live, b[c]).alias(c) for c in ("first_seq", "first_us", "suppressed_count")))
 
 
@@ -139,7 +139,7 @@ def replay(ops: pd.DataFrame, capacity: int = 0) -> list[tuple[int, str]]:
             held.pop(key, None)
             continue
         state = held.get(key)
-        if state and not state[2] and state[0] + state[3] * 1_000_000 <= o.us:
+        if state and not state[2] and (state[3] < 0 or state[0] + state[3] * 1_000_000 <= o.us):
             del held[key]
             state = None
         if state:

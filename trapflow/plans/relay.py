@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trapflow.config import AlarmRule, Rules
 from trapflow.functions.expr import micros
 from trapflow.functions.keys import dedup_key
-from trapflow.functions.matching import Event, compiles, compile_match, first_match, java_pattern, plain_oid, static_value
+from trapflow.functions.matching import Event, Slotted, compiles, compile_match, first_match, java_pattern, plain_oid, static_value
 from trapflow.operators.suppression import alarms_and_duplicates
 from trapflow.sources.shared import materialize
 
@@ -67,10 +67,10 @@ def verdicts(events: DataFrame, rules: Rules, *keep: str) -> DataFrame:
 
     ``filter_rule`` (dropped by), ``failed`` (an error in a filter or alarm), ``matched_clear``,
     ``clears`` (keys it clears), ``notes`` (clears that name no key, and why), ``alarm_rule``, ``key_hash``,
-    ``key_repr``, ``missing``. Field names
-    that have a column of their own are read from it, so that unused fields are not read at all.
+    ``key_repr``, ``missing``. Each field that a rule names is looked up once.
     """
-    event = Event(F.coalesce(F.col("fields"), F.create_map().cast("map<string,string>")), F.coalesce(F.col("raw_varbind_map"), F.create_map().cast("map<string,string>")))
+    empty = F.create_map().cast("map<string,string>")
+    event = Slotted(F.coalesce(F.col("fields"), empty), F.coalesce(F.col("raw_varbind_map"), empty))
     number, dropped = filtered(event, rules)
     with_clear = [_clear(event, a) for a in rules.alarms if a.clear]
     said = F.lit(False)
@@ -79,12 +79,17 @@ def verdicts(events: DataFrame, rules: Rules, *keep: str) -> DataFrame:
     clears = F.filter(F.array(*(k for _, k, _ in with_clear)), lambda k: k.isNotNull()) if with_clear else F.array().cast(f"array<{_CLEAR_KEY}>")
     notes = F.filter(F.array(*(n for *_, n in with_clear)), lambda n: n.isNotNull()) if with_clear else F.array().cast(f"array<{_NOTE}>")
     alarm = first_match([compile_match(event, a.match) for a in rules.alarms])
-    first = events.select("seq", micros(F.col("received_at")).alias("us"), *keep, "fields", "raw_varbind_map", number.alias("_filter"), dropped.alias("filter_rule"), said.alias("matched_clear"), clears.alias("clears"), notes.alias("notes"), alarm.alias("_alarm"))
+    by_fields: dict[tuple[str, ...], list[int]] = {}
+    for i, a in enumerate(rules.alarms):
+        by_fields.setdefault(a.key_fields, []).append(i)
+    key = F.lit(None).cast("struct<hash:string,repr:string,missing:array<string>>")
+    for names, numbers in by_fields.items():
+        key = F.when(F.col("_alarm").isin(*numbers), dedup_key(event, names)).otherwise(key)
+    # Each field that a rule names is looked up once; verdicts and keys read these columns.
+    resolved = events.select("seq", micros(F.col("received_at")).alias("us"), *keep, "raw_varbind_map", *(c.alias(n) for n, c in event.made.items()))
+    first = resolved.select("*", number.alias("_filter"), dropped.alias("filter_rule"), said.alias("matched_clear"), clears.alias("clears"), notes.alias("notes"), alarm.alias("_alarm"))
     passes = F.col("filter_rule").isNull() & (F.col("_filter") != -2)
     goes_on = passes & ~F.col("matched_clear")
-    key = F.lit(None).cast("struct<hash:string,repr:string,missing:array<string>>")
-    for i, a in enumerate(rules.alarms):
-        key = F.when(F.col("_alarm") == i, dedup_key(event, a.key_fields)).otherwise(key)
     out = first.withColumn("_key", F.when(goes_on & (F.col("_alarm") >= 0), key))
     return out.select(
         "seq", "us", *keep, "filter_rule", ((F.col("_filter") == -2) | goes_on & (F.col("_alarm") == -2)).alias("failed"), (F.col("matched_clear") & passes).alias("matched_clear"),

@@ -55,6 +55,10 @@ class _Held:
     def until(self) -> int:
         return self.first[0] + self.ttl * 1_000_000
 
+    def over(self, us: int) -> bool:
+        """Whether a time is past the window; with a negative ttl every time is."""
+        return not self.hold and (self.ttl < 0 or us >= self.until)
+
 
 def next_at(us: np.ndarray, start: int, end: int, bound: int) -> int:
     """First place in ``us[start:end]`` with a time of ``bound`` or more; ``end`` if there is none."""
@@ -79,18 +83,18 @@ def fold(rows: pd.DataFrame, held: _Held | None) -> tuple[list[tuple[int, bool,
     i = 0
     for cut in cuts.tolist():
         while i < cut:
-            if held is None or not held.hold and us[i] >= held.until:
+            if held is None or held.over(us[i]):
                 r = rows.iloc[i]
                 held = _Held((int(us[i]), r["source_ip"], None if pd.isna(r["source_port"]) else int(r["source_port"]), r["trap_oid"]), int(us[i]), int(r["ttl_seconds"]), bool(r["hold"]), 0)
                 out.append((i, True, held, 0))
                 i += 1
-            k = cut if held.hold else next_at(us, i, cut, held.until)
+            k = cut if held.hold else i if held.ttl < 0 else next_at(us, i, cut, held.until)
             out += [(at, False, held, held.suppressed + n + 1) for n, at in enumerate(range(i, k))]
             if k > i:
                 held.suppressed, held.last = held.suppressed + k - i, int(us[k - 1])
             i = k
         if cut < len(rows):
-            active = held is not None and (held.hold or us[cut] < held.until)
+            active = held is not None and not held.over(us[cut])
             out.append((cut, active, held if active else None, held.suppressed if active else 0))
             held, i = None, cut + 1
     return out, held
@@ -171,11 +175,13 @@ class Relay(StatefulProcessor):
 def relay_operations(events: DataFrame, rules: Rules, *keep: str) -> DataFrame:
     """What each event asks of the states: its clears, its alarm, or, without a key, just its outcome.
 
-    ``events``: seq, received_at, fields, raw_varbind_map, and source_ip, source_port and trap_oid, of which the
-    state keeps those of the first event. ``keep`` stays with the row of the outcome. Rows with an ``error`` (if
+    ``events``: seq, received_at, fields, raw_varbind_map, and source_ip, source_port and trap_oid (as columns or
+    in the map), of which the state keeps those of the first event. ``keep`` stays with the row of the outcome. Rows with an ``error`` (if
     there is such a column) are packets that could not be read.
     """
     snapshot = ["source_ip", "source_port", "trap_oid"]
+    in_map = {c: F.try_element_at("fields", F.lit(c)).try_cast("int" if c == "source_port" else "string") for c in snapshot if c not in events.columns}
+    events = events.withColumns(in_map)
     unread = F.col("error").isNotNull() if "error" in events.columns else F.lit(False)
     events = events.withColumn("unread", unread)
     decided = verdicts(events, rules, *dict.fromkeys([*snapshot, *keep, "unread"]))

@@ -1,77 +1,19 @@
-"""The relay as a stream: the same decisions, with a state for each rule and key.
-
-The state holds time of the first event and the ttl and hold it was opened with, so open windows keep
-theirs when the rules change; rules that are new or gone never touch the states of others. State is
-kept over restarts by the checkpoint. Rows of one batch are ordered by arrival inside each key.
-"""
+"""Only alarms and duplicates of a stream: what the relay says of events with a key."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from trapflow.config import Rules
-from trapflow.operators.suppression import KEYS
-from trapflow.plans.relay import verdicts
-
-STATE = "first_us bigint, last_us bigint, ttl_us bigint, hold boolean, suppressed bigint"
-OUT = "rule_id string, key_hash string, seq bigint, us bigint, reason string, first_us bigint, suppressed bigint"
-
-
-class Suppressor(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["seq", "rank", "us"])
-        held = tuple(self.state.get()) if self.state.exists() else None
-        out = []
-        for r in batch.itertuples():
-            if r.rank == 0:
-                held = None
-                continue
-            us = int(r.us)
-            if held is not None and not held[3] and us >= held[0] + held[2]:
-                held = None
-            if held is None:
-                held = (us, us, int(r.ttl_seconds) * 1_000_000, bool(r.hold), 0)
-                out.append((*key, r.seq, us, "alarm", us, 0))
-            else:
-                held = (held[0], us, held[2], held[3], held[4] + 1)
-                out.append((*key, r.seq, us, "duplicate", held[0], held[4]))
-        if held is None:
-            self.state.clear()
-        else:
-            self.state.update(held)
-        yield pd.DataFrame(out, columns=["rule_id", "key_hash", "seq", "us", "reason", "first_us", "suppressed"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_operations(events: DataFrame, rules: Rules) -> DataFrame:
-    """Alarms and clears of a stream of events, for the keyed state."""
-    decided = verdicts(events, rules)
-    ids = F.array(*(F.lit(a.id) for a in rules.alarms))
-    at = (F.array_position(ids, F.col("alarm_rule")) - 1).cast("int")
-    own = F.when(
-        F.col("key_hash").isNotNull() & F.col("us").isNotNull(),
-        F.struct(F.col("alarm_rule").alias("rule_id"), F.col("key_hash").alias("key_hash"), F.lit(1).alias("rank"), F.get(F.array(*(F.lit(a.ttl_seconds) for a in rules.alarms)), at).alias("ttl_seconds"), F.get(F.array(*(F.lit(a.hold_until_clear) for a in rules.alarms)), at).alias("hold")),
-    )
-    cleared = F.transform("clears", lambda c: F.struct(c["rule_id"].alias("rule_id"), c["key_hash"].alias("key_hash"), F.lit(0).alias("rank"), F.lit(0).alias("ttl_seconds"), F.lit(False).alias("hold")))
-    ops = decided.select("seq", "us", F.explode(F.filter(F.concat(cleared, F.array(own)), lambda o: o.isNotNull())).alias("o"))
-    return ops.select("o.rule_id", "o.key_hash", "seq", F.coalesce("us", F.lit(0)).alias("us"), "o.rank", "o.ttl_seconds", "o.hold")
-
-
-def suppress_stream(events: DataFrame, rules: Rules) -> DataFrame:
-    """alarm or duplicate for each event with a key (append mode). Needs the RocksDB state store."""
-    ops = stream_operations(events, rules)
-    return ops.groupBy(*KEYS).transformWithStateInPandas(Suppressor(), OUT, "append", "none")
-
+from trapflow.streaming.relay import relay_stream
 
 #: Setting of the state store that the stream needs.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def suppress_stream(events: DataFrame, rules: Rules, grace_seconds: float | None = None) -> DataFrame:
+    """alarm or duplicate for each event with a key (append mode), with the start of its window and how many
+    it has held back so far. ``grace_seconds``: see ``relay_stream``; None: states are dropped by clears only."""
+    log = relay_stream(events, rules, grace_seconds=grace_seconds).where(F.col("reason").isin("alarm", "duplicate"))
+    return log.select("rule_id", "key_hash", "seq", "us", "reason", "first_us", "suppressed")
