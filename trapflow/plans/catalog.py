@@ -491,7 +491,7 @@ def decode_requests(spark: SparkSession, root: str) -> DataFrame:
     return decode_packets(table(spark, root, "raw_packet")).join(stored, "seq", "left_semi").select("seq", "request_id", "error_status", "error_index")
 
 
-@_add("decode_varbinds", "SELECT seq, unnest(range(len(varbinds))) AS place, ltrim(unnest(varbinds).oid, '.') AS oid, unnest(varbinds).type_name AS type_name, unnest(varbinds).value AS value FROM raw_packet p JOIN trap_event e USING (seq)")
+@_add("decode_varbinds", "SELECT seq, unnest(range(len(varbinds))) AS place, ltrim(unnest(varbinds).oid, '.') AS oid, unnest(varbinds).type_name AS type_name, CASE WHEN unnest(varbinds).type_name = 'OctetString' THEN unnest(varbinds).value ELSE trim(unnest(varbinds).value) END AS value FROM raw_packet p JOIN trap_event e USING (seq)")
 def decode_varbinds(spark: SparkSession, root: str) -> DataFrame:
     """Every binding of the packets: place, identifier, type and value as text."""
     read = decode_packets(table(spark, root, "raw_packet"), short_names=True)
