@@ -9,6 +9,7 @@ from __future__ import annotations
 import binascii
 import codecs
 import re
+from collections.abc import Iterator
 from html import unescape
 
 _HEAD_END = re.compile(r"\r?\n[ \t]*\r?\n")
@@ -24,6 +25,7 @@ _BLOCK = re.compile(r"</?(?:p|div|br|hr|tr|table|li|ul|ol|h[1-6]|blockquote|pre|
 _BLANKS = re.compile(r"[ \t\r\n]+")
 _CELL = re.compile(r"</?t[dh]\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^<>]*(?:>|\Z)")
+_LINE_REST = re.compile(r"(--)?[ \t]*\r?(?:\n|\Z)")
 #: Parts that one mail may nest; what lies deeper is read as plain text.
 MAX_DEPTH = 20
 
@@ -79,6 +81,16 @@ def _split(entity: str) -> tuple[str, str]:
     return (entity, "") if m is None else (entity[: m.start()], entity[m.end() :])
 
 
+def _boundary_lines(body: str, mark: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether it is the last) of the lines that are ``mark``, or ``mark`` and two hyphens."""
+    at = body.find(mark)
+    while at >= 0:
+        m = (at == 0 or body[at - 1] == "\n") and _LINE_REST.match(body, at + len(mark))
+        if m:
+            yield at, m.end(), m[1] is not None
+        at = body.find(mark, m.end() if m else at + 1)
+
+
 def _parts(entity: str, out: list[str], depth: int, top: bool) -> None:
     head, body = _split(entity)
     if top and not _LOOKS_HEAD.match(entity):
@@ -91,12 +103,11 @@ def _parts(entity: str, out: list[str], depth: int, top: bool) -> None:
             encoding = value.strip().lower()
     low = kind.lstrip().lower()
     if low.startswith("multipart/") and depth < MAX_DEPTH and (b := _BOUNDARY.search(kind)):
-        mark = re.compile(r"^--" + re.escape(b[1] or b[2]) + r"(--)?[ \t]*\r?$\n?", re.M)
         at = end = None
-        for m in mark.finditer(body):
+        for start, after, end in _boundary_lines(body, "--" + (b[1] or b[2])):
             if at is not None:
-                _parts(body[at : m.start()], out, depth + 1, False)
-            at, end = m.end(), m[1]
+                _parts(body[at:start], out, depth + 1, False)
+            at = after
             if end:
                 break
         if at is None:
