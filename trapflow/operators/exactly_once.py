@@ -175,12 +175,15 @@ class SeenStore:
         followed = placed.groupBy(*KEYS, "anchor").agg(F.max("us").alias("until"), F.count(F.lit(1)).alias("n"), F.sum("new").alias("new"), F.min("ord").alias("ord"), *(F.min(c).alias(c) for c in carry))
         return short.unionByName(followed.select(*columns)).withColumn("shard", self._shard())
 
-    def _encode(self, state: dict[str, Any], rows: DataFrame, carry: list[str], groups: str | None) -> tuple[dict[str, Any], DataFrame]:
+    def _hit(self, state: dict[str, Any], rows: DataFrame) -> list[int] | None:
+        """The shards that ``rows`` touch, at most as many numbers as there are shards; null for a new store."""
+        return [r[0] for r in rows.select(self._shard()).distinct().collect()] if state["dictionary"] else None
+
+    def _encode(self, state: dict[str, Any], rows: DataFrame, carry: list[str], groups: str | None, shards: list[int] | None) -> tuple[dict[str, Any], DataFrame]:
         """Code the messages of ``rows``: (what the state gets, arrivals with their codes)."""
         rows = rows.withColumn("new", F.lit(1).cast("bigint")).withColumn("old_code", F.lit(None).cast("bigint"))
         known = None
         if state["dictionary"]:
-            shards = [r[0] for r in rows.select(self._shard()).distinct().collect()]
             touched = rows.select(*KEYS).distinct()
             known = materialize(self._alive(state, "dictionary", shards).join(touched, KEYS, "left_semi"), "known")
             past = self._alive(state, "arrivals", shards).join(known.select(*KEYS).distinct(), KEYS, "left_semi")
@@ -199,7 +202,7 @@ class SeenStore:
             coded = coded.unionByName(messages.where("code is not null and new > 0").withColumn("fresh", F.lit(False)).select(*coded.columns))
             gone = known.join(messages.select(*KEYS, "anchor"), [*KEYS, "anchor"], "left_anti")
             added["dead"] = [self._write("dead", gone.select("shard", "code"))]
-        segment, arrivals = self._written("arrivals", self._arrivals(rows, coded, one), *([groups] if groups else []))
+        segment, arrivals = self._written("arrivals", self._arrivals(rows, coded, one).sortWithinPartitions(*([groups] if groups else []), "shard"), *([groups] if groups else []))
         added["arrivals"] = [segment]
         return added, arrivals
 
@@ -239,7 +242,7 @@ class SeenStore:
 
     # ---- codes to bits
 
-    def _admit(self, state: dict[str, Any], arrivals: DataFrame, carry: list[str]) -> tuple[dict[str, Any], DataFrame]:
+    def _admit(self, state: dict[str, Any], arrivals: DataFrame, carry: list[str], shards: list[int] | None = None) -> tuple[dict[str, Any], DataFrame]:
         """One arrival for each code whose bit is not set, and the bits that are set by that."""
         columns = ["ord", "us", *carry] if carry else ["ord"]
         # The arrival that is first in order; without carried columns a hash aggregation of two numbers.
@@ -247,11 +250,11 @@ class SeenStore:
         several = arrivals.where("n > 1").groupBy("shard", "code").agg(F.max("n").alias("n"), first.alias("first"))
         several = several.select("shard", "code", "n", *([F.col(f"first.{c}").alias(c) for c in columns] if carry else [F.col("first").alias("ord")]))
         chosen = arrivals.where("n = 1").select("shard", "code", "n", *columns).unionByName(several).withColumn("bucket", F.bitmap_bucket_number("code"))
-        seen = self._seen(state)
+        seen = self._seen(state, shards)
         if seen is not None:
             tested = chosen.join(seen, ["shard", "bucket"], "left")
             chosen = tested.where(F.col("bits").isNull() | ~_bit(F.col("bits"), F.bitmap_bit_position("code"))).drop("bits")
-        segment, kept = self._written("kept", chosen)
+        segment, kept = self._written("kept", chosen.sortWithinPartitions("shard", "code"))
         bits = kept.groupBy("shard", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("code")).alias("bits"))
         return {"kept": [segment], "seen": [self._write("seen", bits)]}, kept
 
@@ -261,7 +264,7 @@ class SeenStore:
         """Put the messages of ``rows`` (see ``rows``; read several times) into the dictionary and give back
         every arrival with its code. ``groups``: a carried column by which the arrivals are laid down, if they
         are admitted group by group."""
-        return self._commit(lambda state: self._encode(state, rows, list(carry), groups))
+        return self._commit(lambda state: self._encode(state, rows, list(carry), groups, self._hit(state, rows)))
 
     def admit(self, arrivals: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         """Take coded arrivals: the one of each code whose bit is not set is kept, and the bits are united."""
@@ -289,9 +292,10 @@ class SeenStore:
             self.compact()
 
         def work(state: dict[str, Any]) -> tuple[dict[str, Any], Delivery]:
-            added, arrivals = self._encode(state, rows, list(carry), None)
-            bits, kept = self._admit(state, arrivals, list(carry))
-            earlier = self._read(state, "kept")
+            shards = self._hit(state, rows)
+            added, arrivals = self._encode(state, rows, list(carry), None, shards)
+            bits, kept = self._admit(state, arrivals, list(carry), shards)
+            earlier = self._read(state, "kept", shards)
             known = kept if earlier is None else earlier.unionByName(kept)
             return added | bits, Delivery(kept, self._pairs(arrivals.where("new = 1"), known), self._changed(arrivals, known))
 
