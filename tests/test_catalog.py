@@ -44,3 +44,19 @@ def test_query(spark, sql, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.fixture(scope="module")
+def empty_tables(tmp_path_factory):
+    import pyarrow.parquet as pq
+
+    root = tmp_path_factory.mktemp("empty")
+    for name in ("trap_event", "oid_alias", "raw_packet"):
+        rows = pq.read_table(f"{DATA}/{name}.parquet")
+        pq.write_table(rows if name == "oid_alias" else rows.slice(0, 0), f"{root}/{name}.parquet")
+    return str(root)
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_windows", "p2_found", "p3_found", "p4_found", "p4_wide", "p5_found", "relay_outcomes", "relay_packets", "dedup_states", "clears_of_states", "load_ramp"])
+def test_empty_tables(spark, empty_tables, name):
+    assert QUERIES[name](spark, empty_tables).count() == 0
